@@ -38,7 +38,7 @@ def dictionary(keys: DataFrame, ranges: Sequence[str], code_of: str) -> DataFram
 
 
 def _bitmaps(coded: DataFrame, ranges: Sequence[str], name: str) -> DataFrame:
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.col("code").bitwiseAND(F.lit(63)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("code").bitwiseAND(F.lit(63)).cast("int"))
     return coded.groupBy(*ranges, F.shiftright("code", 6).alias("word"), "period").agg(F.bit_or(bit).alias(name))
 
 
@@ -74,8 +74,8 @@ def orphan_references(
     known = _bitmaps(whole, ranges, "known")
     left = F.col("named").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint"))))
     open_words = named.join(known, [*ranges, "word", "period"], "left").withColumn("left", left).where("left <> 0")
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.expr("shiftright(`left`, 0)").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)) != 0)
-    decoded = open_words.select(*ranges, "period", (F.col("word") * 64 + F.explode(bits)).alias("code"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("left").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)) != 0)
+    decoded = open_words.select(*ranges, "period", "word", F.explode(bits).alias("bit")).withColumn("code", F.col("word") * 64 + F.col("bit")).drop("word", "bit")
     if integer:
         decoded = decoded.withColumnRenamed("code", code_of).withColumn(code_of, F.col(code_of).cast(dict(refs.dtypes)[code_of]))
     else:
@@ -100,7 +100,7 @@ def orphan_residues(interface: DataFrame, atoms: DataFrame) -> DataFrame:
     first = (
         atoms.where((F.col("icode") == "") & F.col("chain").isNotNull() & F.col("resseq").isNotNull())
         .groupBy("structure_id", "chain", "resseq").agg(F.min("loaded_at").alias("valid_from"))
-        .withColumn("valid_to", F.col("valid_from") + F.expr("CAST(NULL AS INTERVAL DAY TO SECOND)"))
+        .withColumn("valid_to", F.when(F.lit(False), F.col("valid_from")))
     )
     out = orphan_references(interface, first, ["structure_id", "chain"], "resseq", "listed_at")
     return out.select(F.lit("interface_residues").alias("ref_table"), "structure_id", "chain", "resseq", month_name(F.col("period")).alias("ref_month"))
