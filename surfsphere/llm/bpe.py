@@ -34,6 +34,19 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class WordIndex(dict):
+    """Numbers words in the order they are met; the new ones are put down in ``fresh``."""
+
+    def __init__(self, fresh: list[str]):
+        super().__init__()
+        self.fresh = fresh
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class ByteBpe:
     """Encoder of one task; keeps the ids of the words it has met."""
 
@@ -57,8 +70,8 @@ class ByteBpe:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
         self.fresh: list[str] = []
+        self.index = WordIndex(self.fresh)
         self.length = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
@@ -108,23 +121,13 @@ class ByteBpe:
             self.length = np.concatenate([self.length, n.astype(np.int32)])
             self.ids = np.concatenate([self.ids, ids])
             self.start = np.concatenate([[0], np.cumsum(self.length[:-1], dtype=np.int64)])
-            self.fresh = []
+            self.fresh.clear()
 
     def lookup(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(index of every word of all texts, the number of words of each text)."""
         if len(self.index) > WORDS:
             self.reset()
-        index, fresh = self.index, self.fresh
-
-        class Index(dict):
-            def __missing__(self, w):
-                fresh.append(w)
-                self[w] = i = len(self)
-                return i
-
-        if not isinstance(index, dict) or type(index) is dict:
-            index = self.index = Index(index)
-        get, at, counts = index.__getitem__, [], np.zeros(len(texts), np.int64)
+        get, at, counts = self.index.__getitem__, [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
                 words = self.words_of(text)
