@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, mixing, topn
+from . import bpe, mixing, quality, topn
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_ranked, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_speech(table(spark, d, "documents"))
+
+
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_quality(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_ranked, p7_ids, p8_mix, p8_shares, p9_found, p9_quality)}
 
 _P4 = """
 SELECT run_id, cluster_id, pose_id, vina_score, CAST(rank AS INT) AS rank FROM (
