@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, mixing, quality, topn
+from . import bpe, gmm, mixing, quality, topn
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return gmm.strays(table(spark, d, "poses_mapped"))
+
+
+def p2_sites(spark: SparkSession, d: str) -> DataFrame:
+    return gmm.sites(table(spark, d, "poses_mapped"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +51,7 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_ranked, p7_ids, p8_mix, p8_shares, p9_found, p9_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sites, p4_found, p4_ranked, p7_ids, p8_mix, p8_shares, p9_found, p9_quality)}
 
 _P4 = """
 SELECT run_id, cluster_id, pose_id, vina_score, CAST(rank AS INT) AS rank FROM (
