@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,77 +54,86 @@ MARKUP = re.compile(r"<[^<>]*>|\{\\[^{}]*\}")
 SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|【[^【】]*】|（[^（）]*）|\*[^*\n]*[^\W\d_][^*\n]*\*")
 SONG = re.compile(r"[♪♫#]|â™ª|â™«|Ã¢Â\x99Âª|Ã¢â„¢Âª")
 ADVERT = re.compile(r"www\.|https?:|@\w|\.(?:example|invalid|invaIid|com|org|net)\b|subtitles? by", re.I)
+AD_SIGN, BRACKET, SONG_SIGN = re.compile(r"[./@]\w|[bB][yY]"), re.compile(r"[\[(*【（]"), re.compile(r"[♪♫#âÃ]")
 CUE, TIME = re.compile(r"\d+\Z"), re.compile(r"\d{1,2}:\d{2}(?::\d{2})?[.,:]\d{1,3}\s*(?:,|-+>)?\s*\d{1,2}:")
 HEADER = re.compile(r"WEBVTT\b|(?:NOTE|STYLE|REGION)\s*\Z")
 WORD, SPLIT = re.compile(r"[^\W\d_]+"), re.compile(r"\r\n|\n|\r")
+BARS = re.compile(r"[|\t;]| - | / |: ")
+# Upper edges of the bins (a value on an edge belongs to the lower bin), and characters cut off lines.
+DIGIT_EDGES, LETTER_EDGES, WORD_EDGES = (0, 0.1, 0.22, 0.6), (0.1, 0.4, 0.75, 0.93), (2.2, 3.2, 7.5, 13)
+ODDS_EDGES, UNKNOWN_EDGES = (-1.5, -0.4, 0.6, 1.6), (0, 0.3, 0.65)
+SIGNS, MARKS, EDGE = "-–— .", "-–—♪♫ .?", " \t\u3000\ufeff?"
 SENTENCE_END, BULLETS = set(".?!…。？！»”\"'"), set("•*-–—|+~=#>/·")
 
 
 def content(line: str) -> str | None:
     """What a line says, without markup, sounds, song marks and the speaker's dash; None where it's set aside."""
-    if "-->" in line or CUE.match(line) or TIME.match(line) or HEADER.match(line):
+    if "-->" in line or (line[0] <= "9" and (CUE.match(line) or TIME.match(line))) or HEADER.match(line):
         return None
-    line = MARKUP.sub("", line)
-    if ADVERT.search(line):
+    if "<" in line or "{" in line:
+        line = MARKUP.sub("", line)
+    if AD_SIGN.search(line) and ADVERT.search(line):
         return None
-    said = SONG.sub("", SOUND.sub("", line)).strip(" \t　﻿?")  # a song mark may have come out as ?
-    if not said.strip("-–— ."):
+    quiet = SOUND.sub("", line) if BRACKET.search(line) else line
+    said = SONG.sub("", quiet) if SONG_SIGN.search(quiet) else quiet
+    if said == line:
         kept = line.strip()
-        # Signs only: set aside if a sound or mark was all there was, else the line is what it is.
-        return None if not kept.strip("-–—♪♫ .?") or SOUND.search(kept) or SONG.search(kept) else kept
-    return line.strip() if SOUND.sub("", line) == line and not SONG.search(line) else said
+        return kept if kept.strip(SIGNS) else (kept if kept.strip(MARKS) else None)
+    said = said.strip(EDGE)  # a song mark may have come out as ?
+    return said if said.strip(SIGNS) else None
 
 
-def _at(value: float, *limits: float) -> int:
-    return sum(value > x for x in limits)
+def statistics(said: str, dense: str, plain: int, letters: int) -> list[int]:
+    """Bins of the statistics that need no lexicon, in the order of STATS.
 
-
-def statistics(said: str, words: list[str]) -> list[int]:
-    """Bins of the statistics that need no lexicon, in the order of STATS."""
-    dense = said.replace(" ", "").replace("\t", "")
+    ``dense`` is the line without blanks, ``plain`` its number of ASCII characters, ``letters`` that of letters.
+    """
     n = max(1, len(dense))
-    digits = sum(map(str.isdigit, dense)) / n
-    letters = sum(map(len, words)) / n
-    tokens = said.split()
-    ascii_share = sum(c < "\x80" for c in dense) / n
-    mean = n / max(1, len(tokens))
-    if ascii_share < 0.6:
+    digits = sum(map(dense.count, "0123456789")) / n
+    gaps = said.split()
+    if plain < 0.6 * n:
         length = 0
-    elif len(tokens) == 1:
+    elif len(gaps) == 1:
         length = 1 if n <= 14 else 6
     else:
-        length = 2 + _at(mean, 2.2, 3.2, 7.5, 13)
+        length = 2 + bisect_left(WORD_EDGES, n / max(1, len(gaps)))
     last, first = said[-1], said.lstrip("-–— ")[:1] or said[0]
     end = 0 if last in SENTENCE_END else 1 if last.isalpha() else 2 if last.isdigit() else 3
-    if said[0] in BULLETS and not (said[0] in "-–—" and first.isalpha() and first.isupper()):
+    if said[0] in BULLETS and not (said[0] in "-–—" and first.isupper()):
         start = 3
     else:
         start = 0 if first.isupper() else 1 if first.islower() else 2 if first.isdigit() else 4 if first.isalpha() else 3
     commas = said.count(",") + said.count("、")
-    bars = said.count("|") + said.count("\t") + said.count(";") + said.count(" - ") + said.count(" / ") + said.count(": ")
-    if bars:
+    if BARS.search(said):
         separators = 3
-    elif (commas > 1 or commas and last in ",;、") and end != 0 and len(tokens) <= 3 * (commas + 1):
+    elif (commas > 1 or commas and last in ",;、") and end != 0 and len(gaps) <= 3 * (commas + 1):
         separators = 2
     else:
         separators = min(commas, 1)
-    kinds = len(set(dense))
-    variety = 0 if n < 12 else 1 if kinds <= 2 else 2 if kinds / n < (0.3 if n < 40 else 0.2) else 3 if kinds / n < 0.7 else 4
-    return [_at(digits, 0, 0.1, 0.22, 0.6), _at(letters, 0.1, 0.4, 0.75, 0.93), length, end, start, separators, variety]
+    if n < 12:
+        variety = 0
+    else:
+        kinds = len(set(dense))
+        variety = 1 if kinds <= 2 else 2 if kinds / n < (0.3 if n < 40 else 0.2) else 3 if kinds / n < 0.7 else 4
+    return [bisect_left(DIGIT_EDGES, digits), bisect_left(LETTER_EDGES, letters / n), length, end, start, separators, variety]
 
 
-def lexical(words: list[str], said: str, lexicon: dict[str, float] | None) -> list[int]:
+def lexical(words: list[str], said: str, lexicon: dict[str, float], letters: int) -> list[int]:
     """Bins of the statistics against the lexicon, over words of ASCII letters (others may be misdecoded)."""
-    known = [lexicon[w] for w in words if w in lexicon] if lexicon else []
-    plain = [w for w in words if w.isascii()]
+    known = [lexicon[w] for w in words if w in lexicon]
     if 2 * len(known) < len(words):
         known = []  # what is left says little about the line
-    odds = sum(known) / len(known) if known else 0
-    lex = 1 + _at(odds, -1.5, -0.4, 0.6, 1.6) if known else 0
-    if not plain or sum(map(len, plain)) < 0.6 * sum(map(len, words)) or sum(c >= "\x80" for c in said) > 0.2 * len(said):
+    lex = 1 + bisect_left(ODDS_EDGES, sum(known) / len(known)) if known else 0
+    if said.isascii():
+        plain = words
+    else:
+        plain = [w for w in words if w.isascii()]
+        if 10 * (len(said) - len(said.encode("ascii", "ignore"))) > 2 * len(said) or 10 * sum(map(len, plain)) < 6 * letters:
+            return [lex, 0]
+    if not plain:
         return [lex, 0]
-    unknown = sum(w not in lexicon for w in plain) / len(plain)
-    return [lex, 1 + _at(unknown, 0, 0.3, 0.65)]
+    unknown = sum([w not in lexicon for w in plain]) / len(plain)
+    return [lex, 1 + bisect_left(UNKNOWN_EDGES, unknown)]
 
 
 class Model:
@@ -184,10 +195,10 @@ def posteriors(log_b: np.ndarray, n: np.ndarray, model: Model) -> tuple[np.ndarr
 
 
 class Lines:
-    """The different lines of a task with their statistics."""
+    """The different lines of a task with their statistics; ``figures`` adds the plain ones for the result."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, figures: bool = False):
+        self.model, self.figures = model, figures
         self.reset()
 
     def reset(self) -> None:
@@ -197,21 +208,21 @@ class Lines:
         self.plain: list[tuple[int, int, int, int, bool, int]] = []
 
     def id_of(self, line: str) -> int:
-        found = self.ids.get(line)
-        if found is None:
-            said = content(line)
-            if said is None:
-                found = -1
-            else:
-                words = WORD.findall(said.lower())
-                lexicon = self.model.lexicon
-                self.bins.append(statistics(said, words) + (lexical(words, said, lexicon) if lexicon is not None else [0, 0]))
-                self.words.append(words)
-                letters = sum(map(len, words))
-                signs = sum(not (c.isalnum() or c.isspace()) for c in said)
-                self.plain.append((len(words), letters, signs, len(said), said[-1] in SENTENCE_END, sum(w in self.model.common for w in words)))
-                found = len(self.words) - 1
-            self.ids[line] = found
+        said = content(line)
+        if said is None:
+            self.ids[line] = -1
+            return -1
+        words = WORD.findall(said.lower())
+        letters = sum(map(len, words))
+        dense = "".join(said.split())
+        plain = len(dense) if dense.isascii() else len(dense.encode("ascii", "ignore"))
+        lexicon = self.model.lexicon
+        self.bins.append(statistics(said, dense, plain, letters) + (lexical(words, said, lexicon, letters) if lexicon is not None else [0, 0]))
+        self.words.append(words)
+        if self.figures:
+            signs = len(dense) - letters - sum(map(str.isdigit, dense))
+            self.plain.append((len(words), letters, signs, len(said), said[-1] in SENTENCE_END, len([w for w in words if w in self.model.common])))
+        self.ids[line] = found = len(self.words) - 1
         return found
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +232,8 @@ class Lines:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            mine = []
-            for line in SPLIT.split(text):
+            before = len(out)
+            for line in SPLIT.split(text) if "\r" in text else text.split("\n"):
                 if "-->" in line or line.isdigit():
                     continue
                 line = line.strip(" \t﻿　\xa0")
@@ -231,16 +242,15 @@ class Lines:
                     if k is None:
                         k = id_of(line)
                     if k >= 0:
-                        mine.append(k)
-            n[i] = len(mine)
-            out += mine
+                        out.append(k)
+            n[i] = len(out) - before
         return np.array(out, np.int64), n
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], lines: Lines) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     for b in batches:
         texts = b["text"]
-        size = np.cumsum([len(t) if t else 0 for t in texts.to_pylist()]) if b.num_rows else []
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK)))
@@ -345,7 +355,7 @@ def document_quality(docs: DataFrame, model: Model | None = None) -> DataFrame:
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Lines(model)
+        lines = Lines(model, figures=True)
         for part, texts in _pieces(batches, lines):
             ids, n = lines.documents(texts)
             bins = np.array(lines.bins, np.int64).reshape(-1, len(STATS))
