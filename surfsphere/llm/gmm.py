@@ -40,14 +40,14 @@ def unit_vector(theta: Column, phi: Column) -> list[Column]:
 def located(poses: DataFrame) -> DataFrame:
     """Different poses with both angles: run_id, pose_id, cluster_id, ux, uy, uz, cell.
 
-    Null, NaN and infinite angles leave a pose unlocated. Of a pose delivered several times one row counts
-    (they are alike; were they not, the one of lowest cluster_id and angles).
+    Null, NaN and infinite angles leave a pose unlocated. A pose delivered several times counts
+    once (its rows are alike; were they not, with the lowest of each value).
     """
     inf = float("inf")
     ok = F.col("run_id").isNotNull() & F.col("pose_id").isNotNull() & (F.abs("theta") < inf) & (F.abs("phi") < inf)
-    one = poses.where(ok).groupBy("run_id", "pose_id").agg(F.min(F.struct("cluster_id", "theta", "phi")).alias("p"))
-    u = unit_vector(F.col("p.theta"), F.col("p.phi"))
-    out = one.select("run_id", "pose_id", F.col("p.cluster_id").alias("cluster_id"), *(c.alias(n) for c, n in zip(u, ("ux", "uy", "uz"))))
+    one = poses.where(ok).groupBy("run_id", "pose_id").agg(*(F.min(c).alias(c) for c in ("cluster_id", "theta", "phi")))
+    u = unit_vector(F.col("theta"), F.col("phi"))
+    out = one.select("run_id", "pose_id", "cluster_id", *(c.alias(n) for c, n in zip(u, ("ux", "uy", "uz"))))
     part = [F.floor((F.col(c) + 1) * CELLS).cast("int") for c in ("ux", "uy", "uz")]
     return out.withColumn("cell", (part[0] * 256 + part[1]) * 256 + part[2])
 
@@ -162,12 +162,13 @@ def _joined(near: np.ndarray) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def link_patches(u: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def link_patches(u: np.ndarray, comp: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(site of every cell of a run, pairs of cells in different sites that the cells leave undecided).
 
     A patch is the part of a component in a coarse cell; all its poses are neighbours.
     """
-    slack = np.sqrt(3) / CELLS * 1.02  # the most that a pose and its cell's mean direction are apart, in radians
+    # The most that a pose and its cell's mean direction are apart, in radians; a cell of one pose is that pose.
+    slack = np.where(weight > 1, np.sqrt(3) / CELLS * 1.02, 1e-7)
     limit = np.radians(LINK_DEGREES)
     patch_of = np.unique(np.column_stack([comp, np.floor((u + 1) * PATCHES)]), axis=0, return_inverse=True)[1].ravel()
     m = patch_of.max() + 1
@@ -191,10 +192,11 @@ def link_patches(u: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, list[tupl
                 continue
             ca, cb = order[begin[a] : begin[a + 1]], order[begin[b] : begin[b + 1]]
             d = np.arccos(np.clip(u[ca] @ u[cb].T, -1, 1))
-            if d.min() + 2 * slack <= limit:
+            both = slack[ca][:, None] + slack[cb][None, :]
+            if (d + both <= limit).any():
                 site[site == site[b]] = site[a]
-            elif d.min() - 2 * slack <= limit:
-                i, j = np.nonzero(d - 2 * slack <= limit)
+            elif (d - both <= limit).any():
+                i, j = np.nonzero(d - both <= limit)
                 doubt += list(zip(ca[i], cb[j]))
     doubt = [(a, b) for a, b in doubt if site[patch_of[a]] != site[patch_of[b]]]
     return np.unique(site, return_inverse=True)[1][patch_of], doubt
@@ -233,7 +235,7 @@ def _label_runs(rows: pd.DataFrame) -> pd.DataFrame:
     doubts = []
     cells = rows["cell"].to_numpy()[first]
     for b, n in zip(begin, size):
-        s, doubt = link_patches(u[b : b + n], comp[b : b + n])
+        s, doubt = link_patches(u[b : b + n], comp[b : b + n], weight[b : b + n])
         site[b : b + n] = s
         doubts += [(run[first[b]], cells[b + i], cells[b + j]) for i, j in doubt]
     out = rows[["run_id", "cell", "cluster_id", "n"]].assign(component=comp[cell_of], n_components=chosen[cell_of], density=density[cell_of], site=site[cell_of], doubt_cell=None)
