@@ -23,10 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
-#: Training rounds; words kept in the lexicon, the most frequent ones; least lines of a word, and least share of all lines.
-ROUNDS, LEXICON, MIN_LINES, MIN_SHARE = 2, 50_000, 5, 6e-5
+#: Training rounds; words and triples of words kept, the most frequent ones; least lines of a word, and least share of all lines.
+ROUNDS, LEXICON, MIN_LINES, MIN_SHARE = 1, 50_000, 5, 6e-5
 #: Weight of the stated priors against the counts when the model is estimated anew.
 PRIOR = 0.3
+#: Least share of all lines that three words in a row must be in to count as a common triple.
+TRIPLE_SHARE = 3e-4
+#: Weight of a statistic's evidence. Those of a line's form depend on each other and are damped.
+WEIGHT = {"lexicon": 1.0, "triples": 2.0, "unknown": 1.2}
 #: Words that count as common, the most frequent ones among those of prose.
 COMMON = 500
 #: Different lines kept by a task, and bytes of text handled at once.
@@ -41,11 +45,12 @@ STATS = {
     "start": (("upper", "lower", "digit", "mark", "uncased"), ((70, 13, 2, 7, 8), (34, 26, 15, 20, 4), (6, 24, 35, 33, 2), (33, 32, 10, 20, 5))),
     "separators": (("none", "comma", "commas", "bars"), ((72, 24, 3, 1), (48, 8, 24, 20), (33, 5, 12, 50), (80, 8, 4, 8))),
     "variety": (("short", "one", "low", "usual", "high"), ((22, 0.1, 3, 60, 15), (15, 0.2, 5, 60, 20), (10, 1, 20, 60, 9), (8, 22, 35, 25, 10))),
-    "lexicon": (("no words", "other", "rather other", "between", "rather prose", "prose"), ((16, 0.5, 3, 12, 18, 50), (8, 50, 22, 12, 6, 2), (40, 40, 10, 6, 3, 1), (40, 20, 12, 13, 8, 7))),
+    "lexicon": (("no words", "other", "rather other", "between", "rather prose", "prose"), ((16, 0.5, 3, 12, 18, 50), (8, 42, 20, 12, 10, 8), (40, 40, 10, 6, 3, 1), (40, 20, 12, 13, 8, 7))),
+    "triples": (("too short", "rare", "some", "half", "most", "all"), ((20, 2.5, 4, 5.5, 14, 54), (14, 36, 24, 19, 5, 2), (50, 30, 10, 5, 3, 2), (40, 50, 6, 2, 1, 1))),
     "unknown": (("no words", "none", "few", "many", "most"), ((16, 62, 20, 1.8, 0.2), (8, 60, 20, 8, 4), (40, 30, 10, 10, 10), (33, 4, 5, 13, 45))),
 }
 WIDTH = max(len(bins) for bins, _ in STATS.values())
-LEXICAL = [i for i, name in enumerate(STATS) if name in ("lexicon", "unknown")]
+LEXICAL = [i for i, name in enumerate(STATS) if name in ("lexicon", "triples", "unknown")]
 STAY = ((0.97, 0.01, 0.01, 0.01), (0.02, 0.96, 0.01, 0.01), (0.02, 0.01, 0.96, 0.01), (0.02, 0.01, 0.01, 0.96))
 START = (0.88, 0.05, 0.03, 0.04)
 
@@ -61,7 +66,7 @@ WORD, SPLIT = re.compile(r"[^\W\d_]+"), re.compile(r"\r\n|\n|\r")
 BARS = re.compile(r"[|\t;]| - | / |: ")
 # Upper edges of the bins (a value on an edge belongs to the lower bin), and characters cut off lines.
 DIGIT_EDGES, LETTER_EDGES, WORD_EDGES = (0, 0.1, 0.22, 0.6), (0.1, 0.4, 0.75, 0.93), (2.2, 3.2, 7.5, 13)
-ODDS_EDGES, UNKNOWN_EDGES = (-1.5, -0.4, 0.6, 1.6), (0, 0.3, 0.65)
+ODDS_EDGES, UNKNOWN_EDGES, TRIPLE_EDGES = (-1.5, -0.4, 0.6, 1.6), (0, 0.3, 0.65), (0.1, 0.35, 0.55, 0.75)
 SIGNS, MARKS, EDGE = "-–— .", "-–—♪♫ .?", " \t\u3000\ufeff?"
 SENTENCE_END, BULLETS = set(".?!…。？！»”\"'"), set("•*-–—|+~=#>/·")
 
@@ -118,22 +123,23 @@ def statistics(said: str, dense: str, plain: int, letters: int) -> list[int]:
     return [bisect_left(DIGIT_EDGES, digits), bisect_left(LETTER_EDGES, letters / n), length, end, start, separators, variety]
 
 
-def lexical(words: list[str], said: str, lexicon: dict[str, float], letters: int) -> list[int]:
-    """Bins of the statistics against the lexicon, over words of ASCII letters (others may be misdecoded)."""
+def lexical(words: list[str], said: str, model: Model, letters: int) -> list[int]:
+    """Bins of the statistics against the lexicon; unknown words are judged where they are of ASCII letters (others may be misdecoded)."""
+    lexicon, common = model.lexicon, model.triples
     known = [lexicon[w] for w in words if w in lexicon]
     if 2 * len(known) < len(words):
         known = []  # what is left says little about the line
     lex = 1 + bisect_left(ODDS_EDGES, sum(known) / len(known)) if known else 0
     if said.isascii():
-        plain = words
+        plain, foreign = words, 0
     else:
-        plain = [w for w in words if w.isascii()]
-        if 10 * (len(said) - len(said.encode("ascii", "ignore"))) > 2 * len(said) or 10 * sum(map(len, plain)) < 6 * letters:
-            return [lex, 0]
-    if not plain:
-        return [lex, 0]
-    unknown = sum([w not in lexicon for w in plain]) / len(plain)
-    return [lex, 1 + bisect_left(UNKNOWN_EDGES, unknown)]
+        plain, foreign = [w for w in words if w.isascii()], len(said) - len(said.encode("ascii", "ignore"))
+    triples = 0
+    if len(words) > 3 and 10 * foreign <= 3 * len(said):
+        triples = 1 + bisect_left(TRIPLE_EDGES, sum([" ".join(t) in common for t in zip(words, words[1:], words[2:])]) / (len(words) - 2))
+    if not plain or 10 * foreign > 2 * len(said) or 10 * sum(map(len, plain)) < 6 * letters:
+        return [lex, triples, 0]
+    return [lex, triples, 1 + bisect_left(UNKNOWN_EDGES, sum([w not in lexicon for w in plain]) / len(plain))]
 
 
 class Model:
@@ -145,7 +151,7 @@ class Model:
         for i, (bins, table) in enumerate(STATS.values()):
             t = np.array(table, float)
             self.emit[i, :, : len(bins)] = t / t.sum(1, keepdims=True)
-        self.seed, self.lexicon, self.common = self.emit.copy(), None, frozenset()
+        self.seed, self.lexicon, self.common, self.triples = self.emit.copy(), None, frozenset(), frozenset()
 
     def learn(self, counts: np.ndarray, moves: np.ndarray) -> None:
         """Counts and stated priors together; a kind that never occurs keeps its priors."""
@@ -158,8 +164,8 @@ class Model:
     def log_emissions(self, bins: np.ndarray) -> np.ndarray:
         used = [i for i in range(len(STATS)) if self.lexicon is not None or i not in LEXICAL]
         log = np.log(np.maximum(self.emit, 1e-6))
-        # The statistics of a line's form depend on each other, so their evidence is damped; that of its words isn't.
-        return sum((1.2 if i in LEXICAL else 0.7) * log[i][:, bins[:, i]].T for i in used)
+        weight = [WEIGHT.get(name, 0.7) for name in STATS]
+        return sum(weight[i] * log[i][:, bins[:, i]].T for i in used)
 
 
 def posteriors(log_b: np.ndarray, n: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +222,7 @@ class Lines:
         letters = sum(map(len, words))
         dense = "".join(said.split())
         plain = len(dense) if dense.isascii() else len(dense.encode("ascii", "ignore"))
-        lexicon = self.model.lexicon
-        self.bins.append(statistics(said, dense, plain, letters) + (lexical(words, said, lexicon, letters) if lexicon is not None else [0, 0]))
+        self.bins.append(statistics(said, dense, plain, letters) + (lexical(words, said, self.model, letters) if self.model.lexicon is not None else [0, 0, 0]))
         self.words.append(words)
         if self.figures:
             signs = len(dense) - letters - sum(map(str.isdigit, dense))
@@ -262,7 +267,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], lines: Lines) -> Iterator[tuple[p
 def _round(docs: DataFrame, model: Model) -> DataFrame:
     """One round's expected counts: (what, key, prose, other), summed over all documents.
 
-    ``what`` is word (its lines by label), emit or move (one row a cell of the tables).
+    ``what`` is word (lines of a word or triple of words, by label), emit or move (one row a cell of the tables).
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +279,7 @@ def _round(docs: DataFrame, model: Model) -> DataFrame:
         def flush() -> None:
             for mine, w in zip(lines.words, weight.tolist()):
                 prose, other = w[0], w[1] + w[2] + w[3]
-                for x in set(mine):
+                for x in {*mine, *map(" ".join, zip(mine, mine[1:], mine[2:]))}:
                     if x in words:
                         words[x][0] += prose
                         words[x][1] += other
@@ -311,12 +316,12 @@ def _round(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model trained on all documents; what reaches the driver is the tables and at most LEXICON words."""
+    """The model trained on all documents; what reaches the driver is the tables and at most LEXICON words and triples."""
     model = Model()
     for _ in range(rounds):
         summed = _round(docs, model)
         tables = F.col("what") != "word"
-        least = MIN_LINES
+        least = 2
         # The tables are of fixed size, the words the LEXICON most frequent ones.
         rows = summed.where(tables | (F.col("prose") + F.col("other") >= least)).orderBy(tables.desc(), (F.col("prose") + F.col("other")).desc()).limit(len(STATS) * 4 * WIDTH + 16 + LEXICON).collect()
         counts, moves = np.zeros(len(STATS) * 4 * WIDTH), np.zeros(16)
@@ -329,8 +334,9 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         model.learn(counts, moves.reshape(4, 4))
         by_kind = counts[0].sum(1)
         prose, other = by_kind[0] + 1, by_kind[1:].sum() + 1
-        need = max(MIN_LINES, MIN_SHARE * by_kind.sum())
-        words = [r for r in rows if r["what"] == "word" and r["prose"] + r["other"] >= need]
+        need, need_triple = max(MIN_LINES, MIN_SHARE * by_kind.sum()), max(2, TRIPLE_SHARE * by_kind.sum())
+        model.triples = frozenset(r["key"] for r in rows if r["what"] == "word" and " " in r["key"] and r["prose"] + r["other"] >= need_triple)
+        words = [r for r in rows if r["what"] == "word" and " " not in r["key"] and r["prose"] + r["other"] >= need]
         # Shares of the lines of either kind; half a line each keeps the odds finite.
         model.lexicon = {r["key"]: math.log((r["prose"] + 0.5) / (prose + 1)) - math.log((r["other"] + 0.5) / (other + 1)) for r in words}
         model.common = frozenset(sorted((r["key"] for r in words if model.lexicon[r["key"]] > 0), key=dict((r["key"], -r["prose"]) for r in words).get)[:COMMON])
