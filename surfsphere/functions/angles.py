@@ -50,12 +50,12 @@ def project(theta: Column, phi: Column, name: str) -> tuple[Column, Column]:
         return lon, lat
     if name == "hammer":
         z = F.sqrt(1 + F.cos(lat) * F.cos(lon / 2))
-        return 2 * math.sqrt(2) * F.cos(lat) * F.sin(lon / 2) / z, math.sqrt(2) * F.sin(lat) / z
+        return F.try_divide(2 * math.sqrt(2) * F.cos(lat) * F.sin(lon / 2), z), F.try_divide(math.sqrt(2) * F.sin(lat), z)
     edge = PI / 2 - 1e-9
     lat = clip(lat, -edge, edge)
     rhs = PI * F.sin(lat)
-    # Ten Newton steps, whatever they reach, as a fold over the step numbers.
-    t = F.aggregate(F.sequence(F.lit(1), F.lit(10)), lat, lambda t, _: t - (2 * t + F.sin(2 * t) - rhs) / (2 + 2 * F.cos(2 * t)))
+    # Ten Newton steps, whatever they reach, as a fold over the step numbers; a flat spot, as at the poles, stands.
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(10)), lat, lambda t, _: t - F.coalesce(F.try_divide(2 * t + F.sin(2 * t) - rhs, 2 + 2 * F.cos(2 * t)), F.lit(0.0)))
     return (2 * math.sqrt(2) / PI) * lon * F.cos(t), math.sqrt(2) * F.sin(t)
 
 

@@ -137,7 +137,7 @@ _HZ = f"sqrt(1 + cos({_LAT}) * cos({_LON} / 2))"
 _EDGE = repr(math.pi / 2 - 1e-9) + "e0"
 _NEWTON = f"(SELECT scope, pose_id, {_LON} AS lon, greatest(-{_EDGE}, least({_EDGE}, {_LAT})) AS lat, greatest(-{_EDGE}, least({_EDGE}, {_LAT})) AS t FROM p)"
 for _i in range(10):
-    _NEWTON = f"(SELECT scope, pose_id, lon, lat, t - (2 * t + sin(2 * t) - {PI} * sin(lat)) / (2 + 2 * cos(2 * t)) AS t FROM {_NEWTON} n{_i})"
+    _NEWTON = f"(SELECT scope, pose_id, lon, lat, t - CASE WHEN 2 + 2 * cos(2 * t) = 0 THEN 0 ELSE (2 * t + sin(2 * t) - {PI} * sin(lat)) / (2 + 2 * cos(2 * t)) END AS t FROM {_NEWTON} n{_i})"
 for _name, _sql in {
     "project_equirect": with_views("p", f"SELECT scope, pose_id, {r6(_LON)} AS x, {r6(_LAT)} AS y FROM p"),
     "project_hammer": with_views("p", f"SELECT scope, pose_id, {r6(f'2 * sqrt(2.0e0) * cos({_LAT}) * sin({_LON} / 2) / {_HZ}')} AS x, {r6(f'sqrt(2.0e0) * sin({_LAT}) / {_HZ}')} AS y FROM p"),

@@ -82,7 +82,7 @@ def checked_scores(lines: DataFrame, line: str = "line") -> DataFrame:
     v = F.col(line)
     kept = lines.where((F.btrim(v, F.lit(" ")) != "") & (v != SCORE_HEADER))
     quoted = v.rlike(QUOTED_LINE)
-    fields = F.when(quoted, F.regexp_extract_all(v, F.lit(rf"(?:\A|,)({FIELD})"), F.lit(1)))
+    fields = F.when(quoted, F.regexp_extract_all(v, F.lit(rf"(?<=\A|,)({FIELD})(?=,|\z)"), F.lit(1)))
 
     def value(i: int) -> Column:
         raw = F.try_element_at(F.col("fields"), F.lit(i))
