@@ -111,26 +111,49 @@ def blur(grid: DataFrame, scope: Sequence[str], sigma: float, rows: int = 180, c
     return along.groupBy(*scope, "iy", "ix").agg(F.sum(F.col("value") * F.col("gx")).alias("value"))
 
 
+def _dense(g, turn, n: int):
+    """A group's cells as a matrix, blurred both ways."""
+    import numpy as np
+
+    h = np.zeros((n, n))
+    np.add.at(h, (g["iy"].to_numpy(), g["ix"].to_numpy()), g["value"].to_numpy())
+    return turn @ h @ turn.T
+
+
+def _turning(n: int, sigma: float):
+    import numpy as np
+
+    return np.array(blur_kernel(n, sigma))[(np.arange(n)[:, None] - np.arange(n)[None, :]) % n]
+
+
 def blur_dense(grid: DataFrame, scope: Sequence[str], sigma: float, n: int) -> DataFrame:
     """As ``blur``, for very many small square grids: each group is one grid of n x n cells at most, blurred as a matrix."""
     import numpy as np
     import pandas as pd
 
-    gains = np.array(blur_kernel(n, sigma))
-    turn = gains[(np.arange(n)[:, None] - np.arange(n)[None, :]) % n]
-    types = dict(grid.dtypes)
+    turn, types = _turning(n, sigma), dict(grid.dtypes)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        h = np.zeros((n, n))
-        np.add.at(h, (g["iy"].to_numpy(), g["ix"].to_numpy()), g["value"].to_numpy())
         iy, ix = np.indices((n, n))
-        head = {c: g[c].iloc[0] for c in scope}
-        return pd.DataFrame({**head, "iy": iy.ravel(), "ix": ix.ravel(), "value": (turn @ h @ turn.T).ravel()})
+        return pd.DataFrame({**{c: g[c].iloc[0] for c in scope}, "iy": iy.ravel(), "ix": ix.ravel(), "value": _dense(g, turn, n).ravel()})
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), "iy int, ix int, value double"])
     return grid.groupBy(*scope).applyInPandas(one, schema)
 
 
+def blurred_levels(grid: DataFrame, scope: Sequence[str], sigma: float, n: int) -> DataFrame:
+    """``contour_levels(blur_dense(...))`` with one row a group leaving the task, not n x n."""
+    import pandas as pd
+
+    turn, types = _turning(n, sigma), dict(grid.dtypes)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in scope}, "peak": [float(_dense(g, turn, n).max())]})
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), "peak double"])
+    return grid.groupBy(*scope).applyInPandas(one, schema).where("peak > 0").withColumn("level", F.greatest(0.25 * F.col("peak"), F.lit(1e-9)))
+
+
 def padded_histogram(df: DataFrame, scope: Sequence[str], x: str, y: str, n: int = 90) -> DataFrame:
     """scope, iy, ix, value: counts on an n x n grid over each group's extent, padded by 0.30 of it and 0.05 at least."""
     span = df.groupBy(*scope).agg(*(f(c).alias(f"{m}_{c}") for c in (x, y) for f, m in ((F.min, "lo"), (F.max, "hi"))))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
+
 #: Edges of the boxes of the two tiers, in the unit of the coordinates.
 TIERS = (64.0, 8.0)
 
@@ -148,6 +150,6 @@ def first_hits(points: DataFrame, triangles: DataFrame) -> DataFrame:
 
 def raycast(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """The first hit where there is one, else the closest surface point."""
-    hit = first_hits(points, triangles)
+    hit = durable(first_hits(points, triangles))
     rest = points.join(hit.select("scope", "pid"), ["scope", "pid"], "left_anti")
     return hit.unionByName(nearest(rest, triangles))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import angles, chem
 from ..operators import clusters, components, grids, mesh, nearest, residues, surface
-from ..session import table
+from ..session import durable, table
 from ..sources import pdb, strict, writers
 from . import layers, views
 from .data_queries import SQL as DATA_SQL
@@ -325,7 +325,7 @@ UNION ALL SELECT scope, pid, sqrt(d2), FALSE FROM n WHERE NOT EXISTS (SELECT 1 F
 )
 def raycast(spark, d):
     points = _interface_points(spark, d).join(views.centres(spark, d), S)
-    hits = nearest.first_hits(points, views.triangles(spark, d))
+    hits = durable(nearest.first_hits(points, views.triangles(spark, d)))
     rest = points.join(hits.select("scope", "pid"), ["scope", "pid"], "left_anti")
     both = hits.withColumn("hit", F.lit(True)).unionByName(nearest.nearest(rest, views.triangles(spark, d)).withColumn("hit", F.lit(False)))
     return out(both, "scope", "pid", "hit", distance=F.col("distance"))
@@ -599,8 +599,7 @@ def cluster_kde_hist(spark, d):
 @query()
 def cluster_kde_level(spark, d):
     """Peak and contour level of every cluster's blurred histogram; brute force in the tests."""
-    b = grids.blur_dense(_kde(spark, d), ["scope", "cluster_id"], 2.6, 90)
-    return out(grids.contour_levels(b, ["scope", "cluster_id"]), "scope", "cluster_id", peak=F.col("peak"), level=F.col("level"))
+    return out(grids.blurred_levels(_kde(spark, d), ["scope", "cluster_id"], 2.6, 90), "scope", "cluster_id", peak=F.col("peak"), level=F.col("level"))
 
 
 # --- surface -------------------------------------------------------------------------------------------
@@ -650,8 +649,7 @@ _ISO_VIEWS = {
 
 @query(with_views("a", "SELECT scope, ix, iy, iz, tet, tri, " + ", ".join(f"{r6(f'{n}{c}')} AS {n}{c}" for n in "abc" for c in "xyz") + " FROM tr", _ISO_VIEWS))
 def iso_triangles(spark, d):
-    field, grid = _field(spark, d)
-    t = surface.iso_triangles(field, grid, SPACING, ISO)
+    t = surface.block_triangles(views.atoms(spark, d), SPACING, RADIUS_SCALE, "max", ISO)
     return out(t, "scope", "ix", "iy", "iz", "tet", "tri", **{f"{n}{c}": F.col(f"{n}{c}") for n in "abc" for c in "xyz"})
 
 

@@ -111,6 +111,15 @@ def test_blur_keeps_the_sum_and_equals_the_spectrum(spark):
     assert np.allclose(dense, np.fft.ifft2(np.fft.fft2(square) * np.exp(-0.5 * (k[None] ** 2 + k[:, None] ** 2) / 2.6**2)).real, atol=1e-12)
 
 
+def test_levels_without_the_grids(spark):
+    df = spark.createDataFrame([(g, int(i), int(j), 1.0) for g in (1, 2) for i, j in np.random.default_rng(g).integers(0, 20, (30, 2))], "g int, iy int, ix int, value double")
+    want = {r["g"]: (r["peak"], r["level"]) for r in grids.contour_levels(grids.blur_dense(df, ["g"], 2.6, 20), ["g"]).collect()}
+    sparse = {g: max(r["value"] for r in grids.blur(df.where(F.col("g") == g), ["g"], 2.6, 20, 20).collect()) for g in (1, 2)}
+    got = {r["g"]: (r["peak"], r["level"]) for r in grids.blurred_levels(df, ["g"], 2.6, 20).collect()}
+    for g in (1, 2):
+        assert got[g] == pytest.approx(want[g]) and got[g][0] == pytest.approx(sparse[g])
+
+
 def test_bins_follow_the_edges(spark):
     edges = np.linspace(-math.pi, math.pi, 361)
     x = np.concatenate([edges, edges + 1e-13, np.random.default_rng(0).uniform(-4, 4, 500)])
