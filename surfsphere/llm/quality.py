@@ -57,11 +57,12 @@ START = (0.88, 0.05, 0.03, 0.04)
 # Fixed patterns of what is set aside, and of words.
 MARKUP = re.compile(r"<[^<>]*>|\{\\[^{}]*\}")
 SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|【[^【】]*】|（[^（）]*）|\*[^*\n]*[^\W\d_][^*\n]*\*")
-SONG = re.compile(r"[♪♫#]|â™ª|â™«|Ã¢Â\x99Âª|Ã¢â„¢Âª")
+SONG = re.compile(r"[♪♫#]|â™ª|â™«|â\x99ª|â\x99«|Ã¢Â\x99Âª|Ã¢â„¢Âª")
 ADVERT = re.compile(r"www\.|https?:|@\w|\.(?:example|invalid|invaIid|com|org|net)\b|subtitles? by", re.I)
 AD_SIGN, BRACKET, SONG_SIGN = re.compile(r"[./@]\w|[bB][yY]"), re.compile(r"[\[(*【（]"), re.compile(r"[♪♫#âÃ]")
 CUE, TIME = re.compile(r"\d+\Z"), re.compile(r"\d{1,2}:\d{2}(?::\d{2})?[.,:]\d{1,3}\s*(?:,|-+>)?\s*\d{1,2}:")
 HEADER = re.compile(r"WEBVTT\b|(?:NOTE|STYLE|REGION)\s*\Z")
+MISREAD = re.compile(r"[ÃÂÐÑâãåäæç„‰Ê]")  # what the first bytes of a letter look like in a wrong decoding
 WORD, SPLIT = re.compile(r"[^\W\d_]+"), re.compile(r"\r\n|\n|\r")
 BARS = re.compile(r"[|\t;]| - | / |: ")
 # Upper edges of the bins (a value on an edge belongs to the lower bin), and characters cut off lines.
@@ -81,6 +82,8 @@ def content(line: str) -> str | None:
         return None
     quiet = SOUND.sub("", line) if BRACKET.search(line) else line
     said = SONG.sub("", quiet) if SONG_SIGN.search(quiet) else quiet
+    if said == line and line[:2] == "? " and line[-2:] == " ?":
+        said = line.strip(EDGE) + " "
     if said == line:
         kept = line.strip()
         return kept if kept.strip(SIGNS) else (kept if kept.strip(MARKS) else None)
@@ -102,6 +105,8 @@ def statistics(said: str, dense: str, plain: int, letters: int) -> list[int]:
         length = 1 if n <= 14 else 6
     else:
         length = 2 + bisect_left(WORD_EDGES, n / max(1, len(gaps)))
+    if plain < 0.5 * n and len(MISREAD.findall(dense)) > 0.15 * n:
+        letters = max(letters, 0.9 * n)  # wrongly decoded letters, whatever signs they've become
     last, first = said[-1], said.lstrip("-–— ")[:1] or said[0]
     end = 0 if last in SENTENCE_END else 1 if last.isalpha() else 2 if last.isdigit() else 3
     if said[0] in BULLETS and not (said[0] in "-–—" and first.isupper()):
