@@ -62,7 +62,6 @@ ADVERT = re.compile(r"www\.|https?:|@\w|\.(?:example|invalid|invaIid|com|org|net
 AD_SIGN, BRACKET, SONG_SIGN = re.compile(r"[./@]\w|[bB][yY]"), re.compile(r"[\[(*【（]"), re.compile(r"[♪♫#âÃ]")
 CUE, TIME = re.compile(r"\d+\Z"), re.compile(r"\d{1,2}:\d{2}(?::\d{2})?[.,:]\d{1,3}\s*(?:,|-+>)?\s*\d{1,2}:")
 HEADER = re.compile(r"WEBVTT\b|(?:NOTE|STYLE|REGION)\s*\Z")
-MISREAD = re.compile(r"[ÃÂÐÑâãåäæç„‰Ê]")  # what the first bytes of a letter look like in a wrong decoding
 WORD, SPLIT = re.compile(r"[^\W\d_]+"), re.compile(r"\r\n|\n|\r")
 BARS = re.compile(r"[|\t;]| - | / |: ")
 # Upper edges of the bins (a value on an edge belongs to the lower bin), and characters cut off lines.
@@ -105,16 +104,21 @@ def statistics(said: str, dense: str, plain: int, letters: int) -> list[int]:
         length = 1 if n <= 14 else 6
     else:
         length = 2 + bisect_left(WORD_EDGES, n / max(1, len(gaps)))
-    if plain < 0.5 * n and len(MISREAD.findall(dense)) > 0.15 * n:
-        letters = max(letters, 0.9 * n)  # wrongly decoded letters, whatever signs they've become
+    # A line of other script, or of letters that a wrong decoding has turned into letters and signs.
+    other = plain < 0.6 * n and letters > 0.2 * n
+    if other:
+        letters = max(letters, 0.94 * n)
     last, first = said[-1], said.lstrip("-–— ")[:1] or said[0]
     end = 0 if last in SENTENCE_END else 1 if last.isalpha() else 2 if last.isdigit() else 3
     if said[0] in BULLETS and not (said[0] in "-–—" and first.isupper()):
         start = 3
     else:
         start = 0 if first.isupper() else 1 if first.islower() else 2 if first.isdigit() else 4 if first.isalpha() else 3
+    if other:
+        end = 1 if end == 3 and last >= "\x80" else end
+        start = 4 if start in (1, 3) and said[0] >= "\x80" else start
     commas = said.count(",") + said.count("、")
-    if BARS.search(said):
+    if BARS.search(said) and not other:
         separators = 3
     elif (commas > 1 or commas and last in ",;、") and end != 0 and len(gaps) <= 3 * (commas + 1):
         separators = 2
@@ -124,7 +128,7 @@ def statistics(said: str, dense: str, plain: int, letters: int) -> list[int]:
         variety = 0
     else:
         kinds = len(set(dense))
-        variety = 1 if kinds <= 2 else 2 if kinds / n < (0.3 if n < 40 else 0.2) else 3 if kinds / n < 0.7 else 4
+        variety = 1 if kinds <= 2 else 2 if kinds / n < (0.3 if n < 40 else 0.2) and not other else 3 if kinds / n < 0.7 else 4
     return [bisect_left(DIGIT_EDGES, digits), bisect_left(LETTER_EDGES, letters / n), length, end, start, separators, variety]
 
 
