@@ -145,7 +145,10 @@ def lexical(words: list[str], said: str, model: Model, letters: int) -> list[int
         plain, foreign = [w for w in words if w.isascii()], len(said) - len(said.encode("ascii", "ignore"))
     triples = 0
     if len(words) > 3 and 10 * foreign <= 3 * len(said):
-        triples = 1 + bisect_left(TRIPLE_EDGES, sum([" ".join(t) in common for t in zip(words, words[1:], words[2:])]) / (len(words) - 2))
+        # A misread word spoils its triples, which then say nothing.
+        judged = [" ".join(t) in common for t in zip(words, words[1:], words[2:]) if t[0] in lexicon and t[1] in lexicon and t[2] in lexicon]
+        if judged:
+            triples = 1 + bisect_left(TRIPLE_EDGES, sum(judged) / len(judged))
     if not plain or 10 * foreign > 2 * len(said) or 10 * sum(map(len, plain)) < 6 * letters:
         return [lex, triples, 0]
     return [lex, triples, 1 + bisect_left(UNKNOWN_EDGES, sum([w not in lexicon for w in plain]) / len(plain))]
@@ -344,7 +347,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         by_kind = counts[0].sum(1)
         prose, other = by_kind[0] + 1, by_kind[1:].sum() + 1
         need, need_triple = max(MIN_LINES, MIN_SHARE * by_kind.sum()), max(2, TRIPLE_SHARE * by_kind.sum())
-        model.triples = frozenset(r["key"] for r in rows if r["what"] == "word" and " " in r["key"] and r["prose"] + r["other"] >= need_triple)
+        # Common triples are those of prose: lists repeat theirs too.
+        model.triples = frozenset(r["key"] for r in rows if r["what"] == "word" and " " in r["key"] and r["prose"] + r["other"] >= need_triple and r["prose"] * other > r["other"] * prose)
         words = [r for r in rows if r["what"] == "word" and " " not in r["key"] and r["prose"] + r["other"] >= need]
         # Shares of the lines of either kind; half a line each keeps the odds finite.
         model.lexicon = {r["key"]: math.log((r["prose"] + 0.5) / (prose + 1)) - math.log((r["other"] + 0.5) / (other + 1)) for r in words}
