@@ -30,7 +30,7 @@ PRIOR = 0.3
 #: Least share of all lines that three words in a row must be in to count as a common triple.
 TRIPLE_SHARE = 3e-4
 #: Weight of a statistic's evidence. Those of a line's form depend on each other and are damped.
-WEIGHT = {"lexicon": 1.0, "triples": 2.0, "unknown": 1.2}
+WEIGHT = {"lexicon": 1.0, "triples": 2.6, "unknown": 1.5}
 #: Words that count as common, the most frequent ones among those of prose.
 COMMON = 500
 #: Different lines kept by a task, and bytes of text handled at once.
@@ -145,8 +145,9 @@ def lexical(words: list[str], said: str, model: Model, letters: int) -> list[int
         plain, foreign = [w for w in words if w.isascii()], len(said) - len(said.encode("ascii", "ignore"))
     triples = 0
     if len(words) > 3 and 10 * foreign <= 3 * len(said):
-        # A misread word spoils its triples, which then say nothing.
-        judged = [" ".join(t) in common for t in zip(words, words[1:], words[2:]) if t[0] in lexicon and t[1] in lexicon and t[2] in lexicon]
+        # A word that is misread, or too rare for a common triple, spoils its triples, which then say nothing.
+        usual = model.usual
+        judged = [" ".join(t) in common for t in zip(words, words[1:], words[2:]) if t[0] in usual and t[1] in usual and t[2] in usual]
         if judged:
             triples = 1 + bisect_left(TRIPLE_EDGES, sum(judged) / len(judged))
     if not plain or 10 * foreign > 2 * len(said) or 10 * sum(map(len, plain)) < 6 * letters:
@@ -164,6 +165,7 @@ class Model:
             t = np.array(table, float)
             self.emit[i, :, : len(bins)] = t / t.sum(1, keepdims=True)
         self.seed, self.lexicon, self.common, self.triples = self.emit.copy(), None, frozenset(), frozenset()
+        self.usual: frozenset[str] = frozenset()
 
     def learn(self, counts: np.ndarray, moves: np.ndarray) -> None:
         """Counts and stated priors together; a kind that never occurs keeps its priors."""
@@ -177,6 +179,7 @@ class Model:
         used = [i for i in range(len(STATS)) if self.lexicon is not None or i not in LEXICAL]
         log = np.log(np.maximum(self.emit, 1e-6))
         weight = [WEIGHT.get(name, 0.7) for name in STATS]
+        log[list(STATS).index("triples"), :, 0] = 0  # a line without triples to judge: no evidence
         return sum(weight[i] * log[i][:, bins[:, i]].T for i in used)
 
 
@@ -350,6 +353,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         # Common triples are those of prose: lists repeat theirs too.
         model.triples = frozenset(r["key"] for r in rows if r["what"] == "word" and " " in r["key"] and r["prose"] + r["other"] >= need_triple and r["prose"] * other > r["other"] * prose)
         words = [r for r in rows if r["what"] == "word" and " " not in r["key"] and r["prose"] + r["other"] >= need]
+        model.usual = frozenset(r["key"] for r in words if r["prose"] + r["other"] >= need_triple)
         # Shares of the lines of either kind; half a line each keeps the odds finite.
         model.lexicon = {r["key"]: math.log((r["prose"] + 0.5) / (prose + 1)) - math.log((r["other"] + 0.5) / (other + 1)) for r in words}
         model.common = frozenset(sorted((r["key"] for r in words if model.lexicon[r["key"]] > 0), key=dict((r["key"], -r["prose"]) for r in words).get)[:COMMON])
