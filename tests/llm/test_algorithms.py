@@ -203,3 +203,26 @@ def test_posteriors_equal_the_single_chain():
                 assert np.allclose([p[paths[:, t] == s].sum() for s in range(4)], gamma[at + t])
         at += k
     assert moves.sum() == pytest.approx(2 + 4)
+
+
+def test_triples_say_nothing_where_they_cannot_be_judged():
+    model = quality.Model()
+    words = "we will meet again at noon the map".split()
+    model.lexicon, model.usual, model.triples = dict.fromkeys(words, 1.0), frozenset(words), frozenset({"we will meet", "will meet again"})
+    column = list(quality.STATS).index("triples")
+
+    def triples(said):
+        found = said.split()
+        return quality.lexical(found, said, model, sum(map(len, found)))[1]
+
+    assert triples("we will meet again") == 5  # all common
+    assert triples("we wiil meet agaln") == 0  # every triple has a misread word
+    assert triples("we will meet again xq") == 5  # the spoilt triple doesn't count
+    assert triples("noon the map at noon") == 1  # known words in no common order
+    assert triples("we will") == 0
+    bins = np.zeros((2, len(quality.STATS)), int)
+    bins[1, column] = 1
+    a, b = model.log_emissions(bins)
+    assert not np.allclose(a - a[0], b - b[0])
+    model.emit[column, :, 0] = [0.9, 0.1, 0.1, 0.1]
+    assert np.allclose(model.log_emissions(bins)[0], a)
