@@ -5,8 +5,10 @@ discrete line statistics labels them: its hidden states are the kinds, so the li
 each state emits the bins of some ten statistics independently. It starts from the stated priors below and is
 trained on the whole corpus by expectation-maximisation: each round is one Spark job whose tasks label their
 documents and add up expected counts; only the summed counts, of fixed size, reach the driver. The rounds
-also learn which words belong to prose and which to the other kinds. A document's result are the shares of
-its lines by label and plain statistics of them.
+also learn which words belong to prose and which to the other kinds. The first round has no lexicon, so it
+trains the statistics of a line's form; the second one trains those against the lexicon too. The weights of
+the statistics (WEIGHT) are stated, not trained. A document's result are the shares of its lines by label and
+plain statistics of them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
 #: Training rounds; words and triples of words kept, the most frequent ones; least lines of a word, and least share of all lines.
-ROUNDS, LEXICON, MIN_LINES, MIN_SHARE = 1, 50_000, 5, 6e-5
+ROUNDS, LEXICON, MIN_LINES, MIN_SHARE = 2, 50_000, 5, 6e-5
 #: Weight of the stated priors against the counts when the model is estimated anew.
 PRIOR = 0.3
 #: Least share of all lines that three words in a row must be in to count as a common triple.
@@ -172,6 +174,12 @@ class Model:
         total = counts.sum(2, keepdims=True)
         used = slice(None) if self.lexicon is not None else [i for i in range(len(STATS)) if i not in LEXICAL]
         mixed = (counts + PRIOR * np.maximum(total, 50) * self.seed) / (total + PRIOR * np.maximum(total, 50))
+        # Lines without triples to judge are missing data: the others' bins are learned from the others alone.
+        i = list(STATS).index("triples")
+        judged, seed = counts[i, :, 1:], self.seed[i, :, 1:]
+        share, total = seed.sum(1, keepdims=True), judged.sum(1, keepdims=True)
+        mixed[i, :, 0] = self.seed[i, :, 0]
+        mixed[i, :, 1:] = (share * judged + PRIOR * np.maximum(total, 50) * seed) / (total + PRIOR * np.maximum(total, 50))
         self.emit[used] = mixed[used]
         self.move = (moves + 50 * np.array(STAY)) / (moves + 50 * np.array(STAY)).sum(1, keepdims=True)
 

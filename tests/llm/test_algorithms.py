@@ -187,6 +187,28 @@ def test_quality(spark):
     assert quality.not_speech(df.limit(0)).count() == 0 and quality.not_speech(df.where("doc_id >= 900 AND doc_id < 903")).count() == 0
 
 
+def test_lexical_emissions_are_trained(spark):
+    docs, _ = corpus()
+    model = quality.fit(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    for name in ("lexicon", "triples", "unknown"):
+        i = list(quality.STATS).index(name)
+        assert not np.allclose(model.emit[i], model.seed[i], atol=0.01), name
+    assert np.allclose(model.emit.sum(2), 1)
+
+
+def test_lines_without_triples_teach_nothing_about_triples():
+    model, i = quality.Model(), list(quality.STATS).index("triples")
+    model.lexicon = {}
+    counts = np.zeros((len(quality.STATS), 4, quality.WIDTH))
+    counts[i, 1, :3] = [1e6, 300, 100]
+    model.learn(counts, np.zeros((4, 4)))
+    bare = quality.Model()
+    bare.lexicon = {}
+    counts[i, 1, 0] = 0
+    bare.learn(counts, np.zeros((4, 4)))
+    assert np.allclose(model.emit[i], bare.emit[i]) and model.emit[i, 1, 1] > 2 * model.emit[i, 1, 2] and np.allclose(model.emit[i].sum(1), 1)
+
+
 def test_posteriors_equal_the_single_chain():
     rnd = np.random.default_rng(0)
     m = quality.Model()
