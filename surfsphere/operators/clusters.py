@@ -15,11 +15,13 @@ from ..functions.stats import t_two_sided, welch_moments
 def moments(poses: DataFrame, scope: Sequence[str], label: str) -> DataFrame:
     """Mergeable statistics of each cluster; ties for the best pose go to the lowest pose_idx.
 
-    A mean direction of length zero falls back to the first member's angles.
+    A mean direction of length zero falls back to the first member's angles. Poses without a score count as
+    members only; ``n_scored`` is the number of the others.
     """
+    by_score = F.when(F.col("score").isNotNull(), F.struct("score", "pose_idx"))
     u = unit(F.col("theta"), F.col("phi"))
     out = poses.groupBy(*scope, label).agg(
-        F.count(F.lit(1)).alias("n_poses"), F.min_by("pose_id", F.struct("score", "pose_idx")).alias("best_pose_id"), F.min("score").alias("score_min"), F.max("score").alias("score_max"),
+        F.count(F.lit(1)).alias("n_poses"), F.count("score").alias("n_scored"), F.min_by("pose_id", by_score).alias("best_pose_id"), F.min("score").alias("score_min"), F.max("score").alias("score_max"),
         F.avg("score").alias("score_avg"), F.stddev_pop("score").alias("score_stddev"), F.var_samp("score").alias("score_var"),
         *(F.avg(c).alias(f"m{a}") for c, a in zip(u, "xyz")), F.min_by(F.struct("theta", "phi"), "pose_idx").alias("head"),
     )
@@ -32,15 +34,15 @@ def moments(poses: DataFrame, scope: Sequence[str], label: str) -> DataFrame:
 
 def ranked(stats: DataFrame, scope: Sequence[str], label: str) -> DataFrame:
     """Adds ``rank``: from 1 by size, then best score, then label. A window over clusters, not poses."""
-    order = Window.partitionBy(*scope).orderBy(F.desc("n_poses"), "score_min", label)
+    order = Window.partitionBy(*scope).orderBy(F.desc("n_poses"), F.asc_nulls_last("score_min"), label)
     return stats.withColumn("rank", F.row_number().over(order))
 
 
 def tested(stats: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Adds t, dof and p_value of each cluster's scores against those of the cluster of lowest mean (ties: lowest rank)."""
-    first = Window.partitionBy(*scope).orderBy("score_avg", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = stats.withColumn("ref", F.first(F.struct("n_poses", "score_avg", "score_var")).over(first))
-    t, dof, known = welch_moments(F.col("ref.n_poses"), F.col("ref.score_avg"), F.col("ref.score_var"), F.col("n_poses"), F.col("score_avg"), F.col("score_var"))
+    first = Window.partitionBy(*scope).orderBy(F.asc_nulls_last("score_avg"), "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = stats.withColumn("ref", F.first(F.struct("n_scored", "score_avg", "score_var")).over(first))
+    t, dof, known = welch_moments(F.col("ref.n_scored"), F.col("ref.score_avg"), F.col("ref.score_var"), F.col("n_scored"), F.col("score_avg"), F.col("score_var"))
     out = out.withColumns({"t": t, "dof": dof})
     return out.withColumn("p_value", F.coalesce(known, t_two_sided("t", "dof"))).drop("ref")
 

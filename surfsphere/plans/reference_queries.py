@@ -388,7 +388,7 @@ def angular_pairs(spark, d):
 @query()
 def sphere_clusters(spark, d):
     """Each pose's component of the 15 degree graph of its run, numbered by first members; brute force in the tests."""
-    p = views.poses(spark, d)
+    p = views.located(spark, d)
     return layers.labelled(p, math.radians(15.0)).select("scope", "pose_id", "raw_label")
 
 
@@ -690,6 +690,6 @@ def smooth_scalar(spark, d):
 @query()
 def site_summary(spark, d):
     """The flagship: which sites do a run's poses form, and how good are they?"""
-    p = layers.labelled(views.poses(spark, d), math.radians(15.0))
+    p = layers.labelled(views.located(spark, d), math.radians(15.0))
     s = clusters.summary(p, S, "raw_label")
     return s.drop("raw_label")

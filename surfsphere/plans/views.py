@@ -40,6 +40,13 @@ def poses(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("run_id").alias("scope"), "pose_idx", "pose_id", F.col("vina_score").alias("score"), "theta", "phi", "proj_distance", "cluster_id").distinct()
 
 
+def located(spark: SparkSession, d: str) -> DataFrame:
+    """All poses with a place on the sphere, whatever their cluster_id; a score that isn't a finite number is null."""
+    p = table(spark, d, "poses_mapped").where("run_id IS NOT NULL AND pose_idx IS NOT NULL").where((F.abs("theta") < INF) & (F.abs("phi") < INF))
+    score = F.when(F.abs("vina_score") < INF, F.col("vina_score"))
+    return p.select(F.col("run_id").alias("scope"), "pose_idx", "pose_id", score.alias("score"), "theta", "phi").distinct()
+
+
 def interface(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "interface_residues").where("structure_id IS NOT NULL AND chain IS NOT NULL AND resseq IS NOT NULL")
     return i.select(F.col("structure_id").alias("scope"), "chain", "resseq", F.coalesce("icode", F.lit("")).alias("icode")).distinct()

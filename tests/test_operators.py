@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from surfsphere.functions import angles
 from surfsphere.functions.stats import incomplete_beta, t_two_sided, welch_moments
 from surfsphere.operators import clusters, components, grids, mesh, nearest, residues, surface
-from surfsphere.plans import layers
+from surfsphere.plans import layers, reference_queries
 from surfsphere.plans.pipeline import MapOptions, MissingResidues, SurfaceMap
 from surfsphere.sources import pdb, writers
 from surfsphere.streaming import arrivals
@@ -44,6 +44,20 @@ def test_components_against_brute_force(spark):
     assert components.components(df.limit(0), 0.2).count() == 0
 
 
+def test_sites_have_all_located_poses(spark, tmp_path):
+    def row(i, score, degrees, cluster):
+        return ("r", i, f"p{i}", score, None if degrees is None else math.radians(degrees), math.pi / 2, 1.0, cluster)
+
+    rows = [row(1, -5.0, 0, 1), row(2, float("nan"), 12, None), row(3, -7.0, 24, 1), row(4, None, 90, 2), row(5, float("inf"), 91, None), row(6, None, 92, 2), row(7, None, 93, 2), row(8, -9.0, None, 1), row(9, -4.0, 150, 3)]
+    df = spark.createDataFrame(rows, "run_id string, pose_idx bigint, pose_id string, vina_score double, theta double, phi double, proj_distance double, cluster_id int")
+    df.unionByName(df.limit(2)).write.parquet(str(tmp_path / "poses_mapped.parquet"))
+    got = {r["pose_id"]: r["raw_label"] for r in reference_queries.QUERIES["sphere_clusters"](spark, str(tmp_path)).collect()}
+    assert got == {"p1": 0, "p2": 0, "p3": 0, "p4": 1, "p5": 1, "p6": 1, "p7": 1, "p9": 2}
+    r = {x["cluster_id"]: x for x in reference_queries.QUERIES["site_summary"](spark, str(tmp_path)).collect()}
+    assert [r[k]["n_poses"] for k in (1, 2, 3)] == [4, 3, 1] and r[1]["best_pose_id"] is None and r[1]["vina_score_avg"] is None and r[1]["p_value"] is None
+    assert r[2]["best_pose_id"] == "p3" and r[2]["vina_score_avg"] == -6.0 and r[2]["p_value"] == 1.0 and 0 < r[3]["p_value"] < 1
+
+
 def test_antipodal_cluster_falls_back_to_its_first_member(spark):
     df = spark.createDataFrame([("r", 1, "a", -5.0, 0.0, math.pi / 2, 1), ("r", 2, "b", -5.0, math.pi, math.pi / 2, 1)], "scope string, pose_idx int, pose_id string, score double, theta double, phi double, c int")
     r = clusters.summary(df, ["scope"], "c").first()
