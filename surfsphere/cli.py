@@ -92,12 +92,8 @@ def main(argv: list[str] | None = None) -> int:
     prefix = str(Path(a.out_prefix).absolute())
     if a.write_csv:
         log.info("Wrote %s", ", ".join(m.write(prefix)))
-    tables = {"scatter": m.scatter, "density": m.pose_density, "trace": m.traces, "centroid": m.cluster_table}
-    for layer in m.o.pose_layer:
-        if layer in tables:
-            tables[layer]().write.mode("overwrite").parquet(f"{prefix}_layer_{layer}")
-    if a.background != "none":
-        m.background().write.mode("overwrite").parquet(f"{prefix}_layer_background")
+    for layer, rows in m.layer_tables().items():
+        rows.write.mode("overwrite").parquet(f"{prefix}_layer_{layer}")
     if a.export_mesh:
         scalar = None if a.mesh_vertex_scalar == "none" else "value"
         name = a.mesh_scalar_name or {"density": "density", "curv_proxy": "curv"}.get(a.mesh_vertex_scalar, "scalar")

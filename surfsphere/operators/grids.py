@@ -154,14 +154,19 @@ def blurred_levels(grid: DataFrame, scope: Sequence[str], sigma: float, n: int)
     return grid.groupBy(*scope).applyInPandas(one, schema).where("peak > 0").withColumn("level", F.greatest(0.25 * F.col("peak"), F.lit(1e-9)))
 
 
+def padded(c: str) -> tuple[Column, Column]:
+    """The ends of an extent (columns lo_ and hi_ of ``c``), padded by 0.30 of it and 0.05 at least."""
+    pad = F.greatest(0.30 * F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1e-6)), F.lit(0.05))
+    return F.col(f"lo_{c}") - pad, F.col(f"hi_{c}") + pad
+
+
 def padded_histogram(df: DataFrame, scope: Sequence[str], x: str, y: str, n: int = 90) -> DataFrame:
     """scope, iy, ix, value: counts on an n x n grid over each group's extent, padded by 0.30 of it and 0.05 at least."""
     span = df.groupBy(*scope).agg(*(f(c).alias(f"{m}_{c}") for c in (x, y) for f, m in ((F.min, "lo"), (F.max, "hi"))))
     d = df.join(span, list(scope))
     bins = {}
     for c, name in ((x, "ix"), (y, "iy")):
-        pad = F.greatest(0.30 * F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1e-6)), F.lit(0.05))
-        bins[name] = closed_bin(F.col(c), F.col(f"lo_{c}") - pad, F.col(f"hi_{c}") + pad, n)
+        bins[name] = closed_bin(F.col(c), *padded(c), n)
     return d.withColumns(bins).groupBy(*scope, "iy", "ix").agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 

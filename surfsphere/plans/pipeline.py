@@ -46,6 +46,8 @@ class MapOptions:
     pose_layer: tuple[str, ...] = ("density",)
     trace_pose: str = "best"
     weight: str = "exp"
+    cluster_contour: str = "none"
+    cluster_contour_color: str | None = None
     pose_density_sigma: float = 2.0
     background: str = "none"
     background_smooth: int = 0
@@ -57,7 +59,7 @@ class MapOptions:
     def __post_init__(self) -> None:
         choices = {
             "surface_quality": ("max", "med", "low"), "ppi_residue_point": ("ca", "res_com", "sc_com"), "map": angles.MAPS, "pose_projection": ("nearest", "raycast"), "metric": ("vertex", "triangle"), "peptide_center": ("com", "cog"),
-            "weight": ("none", "exp", "linear"), "background": ("none", "curvature", "radial"), "pose_label": ("none", "first", "best", "topN"), "mesh_vertex_scalar": ("none", "density", "curv_proxy"),
+            "weight": ("none", "exp", "linear"), "background": ("none", "curvature", "radial"), "pose_label": ("none", "first", "best", "topN"), "cluster_contour": ("none", "outline", "filled"), "mesh_vertex_scalar": ("none", "density", "curv_proxy"),
         }
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:
@@ -260,6 +262,66 @@ class SurfaceMap:
         w = angles.score_weight(F.col("score"), self.o.weight, F.col("worst"))
         return self._centred(grids.blur(grids.histogram(m, [], F.col("lat"), F.col("lon"), w), [], self.o.pose_density_sigma))
 
+    def hexbin(self) -> DataFrame:
+        """lattice, i, j, n: the projected poses by hexagon."""
+        x, y = angles.project(F.col("theta"), F.col("phi"), self.o.map)
+        return grids.hexagons(self.poses.select("scope", x.alias("x"), y.alias("y")), ["scope"], "x", "y").drop("scope")
+
+    def centroids(self) -> DataFrame:
+        """cluster_id, x, y, text, outline of the clusters' centroids; a mean that isn't a finite number counts as none."""
+        x, y = angles.project(F.col("theta_centroid"), F.col("phi_centroid"), self.o.map)
+        mean = F.when(F.abs("vina_score_avg") < float("inf"), F.col("vina_score_avg"))
+        ranks = self.clusters.withColumns({"rank": F.col("cluster_id"), "score_avg": mean, "x": x, "y": y})
+        return layers.centroid_layer(ranks, ["scope"]).select("cluster_id", "x", "y", "text", "outline")
+
+    def cluster_contours(self) -> DataFrame:
+        """cluster_id, kind, iy, ix, value, x, y, level, fill_to, position, color: the clusters' blurred histograms of projected poses.
+
+        The line is drawn at ``level``; ``fill_to`` is the peak where it's filled, else null. A cluster of one
+        pose has that point (kind point) and no grid. ``position`` is the cluster's on the colour map, unless ``color`` is given.
+        """
+        n, by = 90, ["cluster_id"]
+        x, y = angles.project(F.col("theta"), F.col("phi"), self.o.map)
+        sizes = self.clusters.select("raw_label", "cluster_id", "n_poses")  # a sphere holds few clusters
+        p = self.poses.join(F.broadcast(sizes), "raw_label").select("cluster_id", "n_poses", x.alias("x"), y.alias("y"))
+        many = p.where("n_poses > 1")
+        blurred = grids.blur_dense(grids.padded_histogram(many, by, "x", "y", n), by, 2.6, n)
+        around = many.groupBy(*by).agg(*(f(c).alias(f"{m}_{c}") for c in "xy" for f, m in ((F.min, "lo"), (F.max, "hi"))))
+        found = blurred.join(around, by).join(grids.contour_levels(blurred, by), by)
+        at = {}
+        for c, i in (("x", "ix"), ("y", "iy")):
+            lo, hi = grids.padded(c)
+            at[c] = lo + (F.col(i) + 0.5) * ((hi - lo) / n)
+        fill = F.col("peak") if self.o.cluster_contour == "filled" else F.lit(None).cast("double")
+        grid = found.withColumns(at).select("cluster_id", F.lit("contour").alias("kind"), "iy", "ix", "value", "x", "y", "level", fill.alias("fill_to"))
+        points = p.where("n_poses = 1").select("cluster_id", F.lit("point").alias("kind"), "x", "y")
+        last = self.clusters.agg(F.max("cluster_id").alias("last"))
+        place = F.when(F.col("last") == 1, 1.0).otherwise(1.0 - F.try_divide(F.col("cluster_id") - 1, F.col("last") - 1))  # as layers.palette
+        out = grid.unionByName(points, allowMissingColumns=True).crossJoin(F.broadcast(last))  # one row
+        return out.withColumns({"position": place, "color": F.lit(self.o.cluster_contour_color).cast("string")}).drop("last")
+
+    def interface_contour(self) -> DataFrame:
+        """kind, iy, ix, value, x, y: the blurred count of the interface's atoms at projected cell centres; less than 20 atoms stay points."""
+        p = self.contour_points()
+        if p.count() >= 20:
+            h = grids.histogram(p, [], math.pi / 2 - F.col("phi"), F.col("theta"))
+            return self._centred(grids.blur(h, [], 2.0)).select(F.lit("contour").alias("kind"), "iy", "ix", "value", "x", "y")
+        x, y = angles.project(F.col("theta"), F.col("phi"), self.o.map)
+        none = {c: F.lit(None).cast(t) for c, t in (("iy", "int"), ("ix", "int"), ("value", "double"))}
+        return p.withColumns(none).select(F.lit("point").alias("kind"), "iy", "ix", "value", x.alias("x"), y.alias("y"))
+
+    def layer_tables(self) -> dict[str, DataFrame]:
+        """Every layer that was asked for, by its name."""
+        made = {"scatter": self.scatter, "density": self.pose_density, "hexbin": self.hexbin, "trace": self.traces, "centroid": self.centroids}
+        out = {name: made[name]() for name in self.o.pose_layer}
+        if self.o.cluster_contour != "none":
+            out["cluster_contour"] = self.cluster_contours()
+        if "atom_contour" in self.o.ppi_footprint and not self.contour_points().isEmpty():
+            out["ppi_contour"] = self.interface_contour()
+        if self.o.background != "none":
+            out["background"] = self.background()
+        return out
+
     def _centred(self, g: DataFrame) -> DataFrame:
         lat = (F.col("iy") + 0.5) * math.pi / 180 - math.pi / 2
         lon = (F.col("ix") + 0.5) * math.pi / 180 - math.pi

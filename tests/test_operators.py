@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from surfsphere import cli
 from surfsphere.functions import angles
 from surfsphere.functions.stats import incomplete_beta, t_two_sided, welch_moments
 from surfsphere.operators import clusters, components, grids, mesh, nearest, residues, surface
@@ -223,6 +224,39 @@ def test_small_map_end_to_end(spark, tmp_path):
         MapOptions("a", "b", "c", "d", map="globe")
 
 
+def test_every_layer_asked_for_is_written(spark, tmp_path):
+    rnd = np.random.default_rng(6)
+
+    def line(i, name, res, chain, n, p):
+        return f"ATOM  {i:5d}  {name:<3} {res} {chain}{n:4d}    {p[0]:8.3f}{p[1]:8.3f}{p[2]:8.3f}  1.00  0.00"
+
+    ball = rnd.normal(size=(90, 3))
+    ball = 8 * ball / np.linalg.norm(ball, axis=1, keepdims=True)
+    (tmp_path / "t.pdb").write_text("\n".join(line(i, "CA" if i % 3 == 0 else "CB", "ALA", "X", i // 3 + 1, p) for i, p in enumerate(ball)))
+    models = []
+    for k, d in enumerate(([12, 0, 0], [12, 1, 0], [0, 0, 12])):
+        models += [f"MODEL {k + 1}", line(1, "CA", "GLY", "d", 1, d), "ENDMDL"]
+    (tmp_path / "p.pdb").write_text("\n".join(models))
+    (tmp_path / "s.dat").write_text("-5\n-6\n-4\n")
+    (tmp_path / "i.txt").write_text("\n".join(f"Chain  X  ALA    {n}" for n in range(1, 11)) + "\n")
+    given = [x for k, n in (("protein", "t.pdb"), ("peptides", "p.pdb"), ("scores", "s.dat"), ("ppi-file", "i.txt")) for x in (f"--{k}", str(tmp_path / n))]
+    given += ["--radius-scale", "2.5", "--ppi-near-surface-eps", "9", "--pose-layer", "hexbin,centroid", "--cluster-contour", "filled", "--no-write-csv", "--out-prefix", str(tmp_path / "o")]
+    assert cli.main(given) == 0
+
+    def layer(name):
+        return spark.read.parquet(str(tmp_path / f"o_layer_{name}"))
+
+    assert layer("hexbin").agg(F.sum("n")).first()[0] == 3
+    centroids = {r["cluster_id"]: r for r in layer("centroid").collect()}
+    assert centroids[1]["text"] == "1:2\n<-5.50>" and centroids[1]["outline"] == "red" and centroids[2]["text"] == "2:1\n<-4.00>"
+    c = layer("cluster_contour")
+    grid = c.where("cluster_id = 1")
+    assert grid.count() == 8100 and grid.agg(F.sum("value")).first()[0] == pytest.approx(2) and grid.where("fill_to IS NULL OR abs(level - fill_to / 4) > 1e-12 OR value > fill_to").isEmpty()
+    assert [(r["kind"], r["position"], r["level"]) for r in c.where("cluster_id = 2").collect()] == [("point", 0.0, None)]
+    i = layer("ppi_contour")
+    assert i.count() == 180 * 360 and i.agg(F.sum("value")).first()[0] == pytest.approx(30)
+
+
 def test_validation_and_points_keep_null_free_edges(spark):
     atoms = spark.createDataFrame([("s", 0, "A", "ALA", 1, "", "CA", "C", 0.0, 0.0, 0.0), ("s", 1, "A", "ALA", 1, "", "CB", "C", 2.0, 0.0, 0.0), ("s", 2, "A", "GLY", 2, "B", "N", "N", 4.0, 0.0, 0.0)], "scope string, atom_idx bigint, chain string, resname string, resseq int, icode string, name string, element string, x double, y double, z double")
     for mode, want in (("ca", [0.0, 4.0]), ("sc_com", [2.0, 4.0]), ("res_com", [1.0, 4.0])):
