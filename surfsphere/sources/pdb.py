@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.chem import element_or_guess
 from ..operators.prefix import running_sum
@@ -11,9 +12,18 @@ from . import strict
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source, line_no (from 0), line of each text file; both kinds of line ends."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value"))
-    return whole.select("source", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+    """source, line_no (from 0), line of each text file; all kinds of line ends, an end after the last line starts no other.
+
+    Files are read in splits. A line's number is its place in the split, which is one run of rows of a task,
+    after the lines of the file's splits before.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(split.alias("split"), F.col("value").alias("line")).withColumn("row", F.monotonically_increasing_id())
+    sizes = lines.groupBy("split").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("split.source").orderBy("split.start").rowsBetween(Window.unboundedPreceding, -1))  # a row per split
+    sizes = sizes.select("split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = lines.join(F.broadcast(sizes), "split")  # no more rows than splits, which the driver lists anyway
+    return numbered.select("split.source", (F.col("before") + F.col("row") - F.col("first")).alias("line_no"), "line")
 
 
 def atom_lines(line: Column) -> Column:

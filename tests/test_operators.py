@@ -177,6 +177,27 @@ def test_pose_files(spark, tmp_path):
         pdb.load_structure(spark, str(tmp_path / "bad.pdb")).collect()
 
 
+def test_text_files_are_read_in_splits(spark, tmp_path):
+    rnd = np.random.default_rng(5)
+    want = {}
+    for name, end in (("a.txt", "\n"), ("b.txt", "\r\n"), ("c.txt", "\n")):
+        lines = [f"{i}:" + "x" * int(rnd.integers(0, 40)) if i % 5 else "" for i in range(300)]
+        (tmp_path / name).write_bytes(end.join([*lines, ""] if name != "c.txt" else [*lines, "last"]).encode())
+        want[name] = lines + ["last"] * (name == "c.txt")
+    (tmp_path / "d.txt").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "101")
+    try:
+        df = pdb.text_lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 50
+        got = {}
+        for r in df.repartition(3).where("line_no >= 0").collect():
+            got.setdefault(r["source"].rpartition("/")[2], {})[r["line_no"]] = r["line"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {k: dict(enumerate(v)) for k, v in want.items()}
+
+
 def test_mesh_files_and_cells(spark):
     v = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.5), (1, 1.0, 0.0, 0.0, 0.25), (2, 0.0, 1.0, 0.0, 1.0)], "vid bigint, x double, y double, z double, s double")
     f = spark.createDataFrame([(0, 0, 1, 2)], "fid bigint, a bigint, b bigint, c bigint")
