@@ -2,41 +2,57 @@
 
 Every line that says something is one of four kinds: prose, list, table or junk. A hidden Markov model over
 discrete line statistics labels them: its hidden states are the kinds, so the lines around a line count, and
-each state emits the bins of some ten statistics independently. It starts from the stated priors below and is
-trained on the whole corpus by expectation-maximisation: each round is one Spark job whose tasks label their
-documents and add up expected counts; only the summed counts, of fixed size, reach the driver. The rounds
-also learn which words belong to prose and which to the other kinds. The first round has no lexicon, so it
-trains the statistics of a line's form; the second one trains those against the lexicon too. The weights of
-the statistics (WEIGHT) are stated, not trained. A document's result are the shares of its lines by label and
-plain statistics of them.
+each state emits the bins of the statistics independently. It starts from the stated priors below and is
+trained on the whole corpus by expectation-maximisation.
+
+Texts are parsed once: a job cuts them into lines and writes, for every chunk of documents, the different
+lines with the bins of their form and their words as numbers and hashes. All later jobs read these chunks.
+One counts in how many documents words, pairs and triples of words occur and how often they come back in
+other lines of the same document: the lines of a list share a frame ("a pinch of", "platform 3"), while what
+is said in prose seldom comes back. Then each round labels all lines and adds up expected counts, among them
+the documents in which a word is of prose or of another kind. What reaches the driver are tables of fixed
+size and the words, pairs and triples that are in a stated share of all lines, whose number that share
+bounds. The weights of the statistics (WEIGHT) are stated, not trained. A document's result are the shares of
+its lines by label and plain statistics of them.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 KINDS = ("prose", "list", "table", "junk")
-#: Training rounds; words and triples of words kept, the most frequent ones; least lines of a word, and least share of all lines.
-ROUNDS, LEXICON, MIN_LINES, MIN_SHARE = 2, 50_000, 5, 6e-5
+#: Training rounds; least lines (each once a document) of a word, pair or triple, and least share of all lines.
+#: A line of w words has less than 4 w of them, so at most 4 w / MIN_SHARE reach the driver.
+ROUNDS, MIN_LINES, MIN_SHARE = 3, 5, 2e-5
+#: Words and triples in fewer documents count as unknown.
+MIN_DOCS = 4
 #: Weight of the stated priors against the counts when the model is estimated anew.
 PRIOR = 0.3
-#: Least share of all lines that three words in a row must be in to count as a common triple.
-TRIPLE_SHARE = 3e-4
+#: A triple is common where it is in that share of the documents of its rarest word and comes back at most so many times as often as lines of prose usually do.
+FIXED, SPREAD = 0.05, 1.7
+#: How often a pair comes back before anything is known, and the pairs of lines that this counts for.
+BACK, BACK_LINES = 0.04, 100
 #: Weight of a statistic's evidence. Those of a line's form depend on each other and are damped.
-WEIGHT = {"lexicon": 1.0, "triples": 2.6, "unknown": 1.5}
+WEIGHT = {"lexicon": 1.0, "triples": 2.0, "unknown": 1.5, "frames": 2.0}
+#: Steps in which the usual rate of return is found.
+RATES = np.geomspace(1e-3, 1, 121)
 #: Words that count as common, the most frequent ones among those of prose.
 COMMON = 500
-#: Different lines kept by a task, and bytes of text handled at once.
-LINES, CHUNK = 400_000, 16_000_000
+#: Bytes of text handled at once.
+CHUNK = 16_000_000
 
 # Stated values: for each statistic its bins and, for the four kinds, how likely each bin is (in any unit).
 STATS = {
@@ -50,9 +66,12 @@ STATS = {
     "lexicon": (("no words", "other", "rather other", "between", "rather prose", "prose"), ((16, 0.5, 3, 12, 18, 50), (8, 42, 20, 12, 10, 8), (40, 40, 10, 6, 3, 1), (40, 20, 12, 13, 8, 7))),
     "triples": (("too short", "rare", "some", "half", "most", "all"), ((20, 2.5, 4, 5.5, 14, 54), (14, 36, 24, 19, 5, 2), (50, 30, 10, 5, 3, 2), (40, 50, 6, 2, 1, 1))),
     "unknown": (("no words", "none", "few", "many", "most"), ((16, 62, 20, 1.8, 0.2), (8, 60, 20, 8, 4), (40, 30, 10, 10, 10), (33, 4, 5, 13, 45))),
+    "frames": (("none known", "new", "seldom", "sometimes", "often", "always"), ((10, 40, 40, 8, 1.5, 0.5), (10, 4, 14, 22, 30, 20), (20, 6, 14, 20, 20, 20), (60, 16, 10, 6, 5, 3))),
 }
 WIDTH = max(len(bins) for bins, _ in STATS.values())
-LEXICAL = [i for i, name in enumerate(STATS) if name in ("lexicon", "triples", "unknown")]
+PLACE = {name: i for i, name in enumerate(STATS)}
+#: Statistics of a line's form, those against the corpus, and those whose first bin is missing data: no evidence.
+FORM, MISSING = [i for name, i in PLACE.items() if name not in WEIGHT], [PLACE[name] for name in WEIGHT]
 STAY = ((0.97, 0.01, 0.01, 0.01), (0.02, 0.96, 0.01, 0.01), (0.02, 0.01, 0.96, 0.01), (0.02, 0.01, 0.01, 0.96))
 START = (0.88, 0.05, 0.03, 0.04)
 
@@ -60,15 +79,16 @@ START = (0.88, 0.05, 0.03, 0.04)
 MARKUP = re.compile(r"<[^<>]*>|\{\\[^{}]*\}")
 SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|【[^【】]*】|（[^（）]*）|\*[^*\n]*[^\W\d_][^*\n]*\*")
 SONG = re.compile(r"[♪♫#]|â™ª|â™«|â\x99ª|â\x99«|Ã¢Â\x99Âª|Ã¢â„¢Âª")
-ADVERT = re.compile(r"www\.|https?:|@\w|\.(?:example|invalid|invaIid|com|org|net)\b|subtitles? by", re.I)
+ADVERT = re.compile(r"www\.|https?:|@\w|\w\.[a-z]{2,}\b|subtitles? by", re.I)
 AD_SIGN, BRACKET, SONG_SIGN = re.compile(r"[./@]\w|[bB][yY]"), re.compile(r"[\[(*【（]"), re.compile(r"[♪♫#âÃ]")
 CUE, TIME = re.compile(r"\d+\Z"), re.compile(r"\d{1,2}:\d{2}(?::\d{2})?[.,:]\d{1,3}\s*(?:,|-+>)?\s*\d{1,2}:")
 HEADER = re.compile(r"WEBVTT\b|(?:NOTE|STYLE|REGION)\s*\Z")
-WORD, SPLIT = re.compile(r"[^\W\d_]+"), re.compile(r"\r\n|\n|\r")
+TOKEN, SPLIT = re.compile(r"[^\W\d_]+|[0-9]+|[-,;:/|\t—–=+*&@#%$~<>{}()\[\]\\^、・：]"), re.compile(r"\r\n|\n|\r")
 BARS = re.compile(r"[|\t;]| - | / |: ")
 # Upper edges of the bins (a value on an edge belongs to the lower bin), and characters cut off lines.
 DIGIT_EDGES, LETTER_EDGES, WORD_EDGES = (0, 0.1, 0.22, 0.6), (0.1, 0.4, 0.75, 0.93), (2.2, 3.2, 7.5, 13)
-ODDS_EDGES, UNKNOWN_EDGES, TRIPLE_EDGES = (-1.5, -0.4, 0.6, 1.6), (0, 0.3, 0.65), (0.1, 0.35, 0.55, 0.75)
+ODDS_EDGES, UNKNOWN_EDGES, TRIPLE_EDGES, FRAME_EDGES = (-1.5, -0.4, 0.6, 1.6), (0, 0.3, 0.65), (0.1, 0.35, 0.55, 0.75), (0.85, 1.5, 2.4, 5)
+DASHES = "-–—"
 SIGNS, MARKS, EDGE = "-–— .", "-–—♪♫ .?", " \t\u3000\ufeff?"
 SENTENCE_END, BULLETS = set(".?!…。？！»”\"'"), set("•*-–—|+~=#>/·")
 
@@ -134,31 +154,156 @@ def statistics(said: str, dense: str, plain: int, letters: int) -> list[int]:
     return [bisect_left(DIGIT_EDGES, digits), bisect_left(LETTER_EDGES, letters / n), length, end, start, separators, variety]
 
 
-def lexical(words: list[str], said: str, model: Model, letters: int) -> list[int]:
-    """Bins of the statistics against the lexicon; unknown words are judged where they are of ASCII letters (others may be misdecoded)."""
-    lexicon, common = model.lexicon, model.triples
-    known = [lexicon[w] for w in words if w in lexicon]
-    if 2 * len(known) < len(words):
-        known = []  # what is left says little about the line
-    lex = 1 + bisect_left(ODDS_EDGES, sum(known) / len(known)) if known else 0
-    if said.isascii():
-        plain, foreign = words, 0
-    else:
-        plain, foreign = [w for w in words if w.isascii()], len(said) - len(said.encode("ascii", "ignore"))
-    triples = 0
-    if len(words) > 3 and 10 * foreign <= 3 * len(said):
-        # A word that is misread, or too rare for a common triple, spoils its triples, which then say nothing.
-        usual = model.usual
-        judged = [" ".join(t) in common for t in zip(words, words[1:], words[2:]) if t[0] in usual and t[1] in usual and t[2] in usual]
-        if judged:
-            triples = 1 + bisect_left(TRIPLE_EDGES, sum(judged) / len(judged))
-    if not plain or 10 * foreign > 2 * len(said) or 10 * sum(map(len, plain)) < 6 * letters:
-        return [lex, triples, 0]
-    return [lex, triples, 1 + bisect_left(UNKNOWN_EDGES, sum([w not in lexicon for w in plain]) / len(plain))]
+@dataclass
+class Chunk:
+    """The lines of some documents: each document's line ids, and of every different line its form and tokens."""
+
+    n: np.ndarray  #: lines of each document
+    ids: np.ndarray  #: line ids, one document after the other
+    form: np.ndarray  #: (lines, FORM) bins
+    plain: np.ndarray  #: (lines, 6) letters, signs, characters, 1 if punctuated, 1 if unknown words are judged, 1 if frames and triples are
+    begin: np.ndarray  #: (lines + 1) first token of each line
+    token: np.ndarray  #: token ids
+    hashed: np.ndarray  #: of each token id, the hash of its lower-case form
+    kind: np.ndarray  #: of each token id: 0 separator, 1 number, 2 word, 3 capitalised word; 4 more for ASCII words
+
+    TYPES = {"n": np.int32, "ids": np.int32, "form": np.uint8, "plain": np.int32, "begin": np.int32, "token": np.int32, "hashed": np.uint64, "kind": np.uint8}
+
+    def row(self) -> list[bytes]:
+        return [getattr(self, f).astype(t).tobytes() for f, t in self.TYPES.items()]
+
+    @classmethod
+    def of(cls, row: dict) -> Chunk:
+        c = cls(*(np.frombuffer(row[f], t) for f, t in cls.TYPES.items()))
+        c.form, c.plain = c.form.reshape(-1, len(FORM)), c.plain.reshape(-1, 6)
+        return c
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of the words only, their lines)."""
+        line = np.repeat(np.arange(len(self.form)), np.diff(self.begin))
+        is_word = (self.kind & 3)[self.token] >= 2
+        return self.token[is_word], line[is_word]
+
+
+def parse(texts: list[str | None]) -> Chunk:
+    """Blank and set-aside lines are left out. A null or empty text has no lines."""
+    seen: dict[str, int] = {}
+    vocabulary: dict[str, int] = defaultdict()
+    vocabulary.default_factory = vocabulary.__len__
+    number, find = vocabulary.__getitem__, TOKEN.findall
+    form, plain, token, begin = [], [], [], [0]
+
+    def id_of(line: str) -> int:
+        said = content(line)
+        if said is None:
+            return -1
+        found = find(said)
+        words = [t for t in found if t[0].isalpha()]
+        letters = sum(map(len, words))
+        dense = "".join(said.split())
+        if said.isascii():
+            ascii_letters, foreign, ascii_signs = letters, 0, len(dense)
+        else:
+            ascii_letters, foreign = sum([len(w) for w in words if w.isascii()]), len(said) - len(said.encode("ascii", "ignore"))
+            ascii_signs = len(dense.encode("ascii", "ignore"))
+        form.append(statistics(said, dense, ascii_signs, letters))
+        signs = len(dense) - letters - sum(map(str.isdigit, dense))
+        # Words of other letters may be misdecoded: unknown ones say nothing there.
+        judged = ascii_letters > 0 and 10 * foreign <= 2 * len(said) and 10 * ascii_letters >= 6 * letters
+        # A wrong decoding breaks words into many pieces without blanks between them, which come back like letters.
+        whole = 2 * len(words) <= 3 * (1 + said.count(" ") + said.count("'") + sum(map(said.count, "’、・：\t"))) + 2
+        plain.append((letters, signs, len(said), said[-1] in SENTENCE_END, judged, whole))
+        token.extend(map(number, found[1:] if found and found[0] in DASHES else found))
+        begin.append(len(token))
+        return len(form) - 1
+
+    ids, n = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        before = len(ids)
+        for line in SPLIT.split(text) if "\r" in text else text.split("\n"):
+            if "-->" in line or line.isdigit():
+                continue
+            line = line.strip(" \t﻿　\xa0")
+            if line:
+                k = seen.get(line)
+                if k is None:
+                    seen[line] = k = id_of(line)
+                if k >= 0:
+                    ids.append(k)
+        n[i] = len(ids) - before
+    names = list(vocabulary)
+    lower = ["0" if t[0] in "0123456789" else t.lower() for t in names]
+    kind = [(0 if not t[0].isalnum() else 1 if s == "0" else 3 if t[0].isupper() else 2) + (4 if t[0].isalpha() and t.isascii() else 0) for t, s in zip(names, lower)]
+    hashed = pd.util.hash_array(np.array(lower, object), categorize=False) if names else np.zeros(0, np.uint64)
+    return Chunk(n, np.array(ids, np.int64), np.array(form, np.uint8).reshape(-1, len(FORM)), np.array(plain, np.int32).reshape(-1, 6), np.array(begin), np.array(token, np.int64), hashed, np.array(kind, np.uint8))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """One 64-bit hash of two."""
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ ((b + np.uint64(salt)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def pairs_of(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, their lines): two tokens in a row, every separator with the kinds of its neighbours, and every lower-case word behind a capitalised one."""
+    line = np.repeat(np.arange(len(c.form)), np.diff(c.begin))
+    h = c.hashed[c.token]
+    same = line[1:] == line[:-1]
+    keys, at = [_mixed(h[:-1], h[1:], 1)[same]], [line[1:][same]]
+    kind = (c.kind & 3)[c.token].astype(np.uint64)
+    named = same & (kind[:-1] == 3) & (kind[1:] == 2)
+    keys.append(_mixed(h[1:][named], np.full(named.sum(), 3, np.uint64), 4))
+    at.append(line[1:][named])
+    sep = np.flatnonzero(kind == 0)
+    none = np.uint64(4)
+    if len(sep):
+        before = np.where((sep > 0) & (line[sep] == line[np.maximum(sep - 1, 0)]), kind[np.maximum(sep - 1, 0)], none)
+        last = np.minimum(sep + 1, len(kind) - 1)
+        after = np.where((sep + 1 < len(kind)) & (line[sep] == line[last]), kind[last], none)
+        keys.append(_mixed(h[sep], before * np.uint64(8) + after, 2))
+        at.append(line[sep])
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def triples_of(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their lines, (triples, 3) token ids): three words in a row."""
+    word, line = c.words()
+    same = line[2:] == line[:-2]
+    t = np.stack([word[:-2], word[1:-1], word[2:]], 1)[same] if len(word) > 2 else np.zeros((0, 3), np.int64)
+    h = c.hashed[t]
+    return _mixed(_mixed(h[:, 0], h[:, 1], 1), h[:, 2], 3), line[2:][same] if len(word) > 2 else np.zeros(0, np.int64), t
+
+
+def counts_of(c: Chunk) -> tuple[np.ndarray, ...]:
+    """keys; documents, (document, line) pairs, pairs of different lines of a document one of which has the key, and pairs where both have it."""
+    word, at = c.words()
+    found = [(c.hashed[word], at), pairs_of(c), triples_of(c)[:2]]
+    key, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    held = np.unique(np.concatenate([a for _, a in found]) * np.int64(len(key)) + inverse)  # each key once a line
+    line_of, key_of = held // max(1, len(key)), held % max(1, len(key))
+    first = np.searchsorted(line_of, np.arange(len(c.form) + 1))
+    doc = np.repeat(np.arange(len(c.n)), c.n)
+    mine = np.unique(doc * np.int64(max(1, len(c.form))) + c.ids)  # each line once a document
+    d, line = mine // max(1, len(c.form)), mine % max(1, len(c.form))
+    m = np.bincount(d, minlength=len(c.n))
+    size = first[line + 1] - first[line]
+    at = np.repeat(first[line] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+    cell = np.sort(np.repeat(d, size) * np.int64(max(1, len(key))) + key_of[at])
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    k = np.diff(np.append(start, len(cell)))
+    of, others = cell[start] % max(1, len(key)), m[cell[start] // max(1, len(key))] - 1
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return np.bincount(of, x, len(key))
+
+    return key, total(np.ones(len(k))), total(k), total(k * others), total(k * (k - 1))
 
 
 class Model:
-    """Start, transition and emission probabilities, and the words' log odds of prose against the other kinds."""
+    """Start, transition and emission probabilities, and what is known of words, pairs and triples by hash."""
 
     def __init__(self) -> None:
         self.start, self.move = np.array(START), np.array(STAY)
@@ -166,29 +311,112 @@ class Model:
         for i, (bins, table) in enumerate(STATS.values()):
             t = np.array(table, float)
             self.emit[i, :, : len(bins)] = t / t.sum(1, keepdims=True)
-        self.seed, self.lexicon, self.common, self.triples = self.emit.copy(), None, frozenset(), frozenset()
-        self.usual: frozenset[str] = frozenset()
+        self.seed = self.emit.copy()
+        #: Sorted hashes; of each, documents and how often it comes back; log odds of prose (NaN: not known), whether it's a common word.
+        self.keys, self.docs, self.back = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        self.odds, self.common = np.zeros(0, np.float32), np.zeros(0, bool)
+        self.labelled, self.least = False, MIN_DOCS
+        #: How often the pairs of a line of prose usually come back; None: not known yet.
+        self.usual: float | None = None
+
+    def know(self, keys: np.ndarray, docs: np.ndarray, lines: np.ndarray, pairs: np.ndarray, back: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.least = max(MIN_DOCS, lines.min(initial=2**31 - 1))
+        self.keys, self.docs = keys[order], docs[order].astype(np.int32)
+        self.back = ((back + BACK * BACK_LINES) / (pairs + BACK_LINES))[order].astype(np.float32)
+        self.odds, self.common = np.full(len(keys), np.nan, np.float32), np.zeros(len(keys), bool)
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """Places of hashes among the keys, -1 where they are unknown."""
+        if not len(self.keys):
+            return np.full(hashed.shape, -1)
+        at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashed, at, -1)
+
+    def learn_words(self, places: np.ndarray, prose: np.ndarray, other: np.ndarray) -> None:
+        """Log odds from the documents in which a word is of prose or not; half a document each keeps them finite."""
+        places, prose, other = (x[self.docs[places] >= MIN_DOCS] for x in (places, prose, other))
+        whole = prose.max(initial=0) + 1, other.max(initial=0) + 1
+        self.odds[places] = np.log((prose + 0.5) / whole[0]) - np.log((other + 0.5) / whole[1])
+        mine = places[self.odds[places] > 0]
+        top = mine[np.lexsort((self.keys[mine], -self.docs[mine]))][:COMMON]
+        self.common = np.zeros(len(self.keys), bool)
+        self.common[top] = True
+        self.labelled = True
+
+    def learn_rate(self, lines: np.ndarray) -> None:
+        """The median over lines of prose, ``lines`` at each step of RATES, is the measure of what is often."""
+        if lines.sum() > 0:
+            self.usual = float(RATES[min(len(RATES) - 1, np.searchsorted(np.cumsum(lines), lines.sum() / 2))])
 
     def learn(self, counts: np.ndarray, moves: np.ndarray) -> None:
-        """Counts and stated priors together; a kind that never occurs keeps its priors."""
-        total = counts.sum(2, keepdims=True)
-        used = slice(None) if self.lexicon is not None else [i for i in range(len(STATS)) if i not in LEXICAL]
-        mixed = (counts + PRIOR * np.maximum(total, 50) * self.seed) / (total + PRIOR * np.maximum(total, 50))
-        # Lines without triples to judge are missing data: the others' bins are learned from the others alone.
-        i = list(STATS).index("triples")
-        judged, seed = counts[i, :, 1:], self.seed[i, :, 1:]
-        share, total = seed.sum(1, keepdims=True), judged.sum(1, keepdims=True)
-        mixed[i, :, 0] = self.seed[i, :, 0]
-        mixed[i, :, 1:] = (share * judged + PRIOR * np.maximum(total, 50) * seed) / (total + PRIOR * np.maximum(total, 50))
-        self.emit[used] = mixed[used]
-        self.move = (moves + 50 * np.array(STAY)) / (moves + 50 * np.array(STAY)).sum(1, keepdims=True)
+        """Counts and stated priors together; a kind that never occurs keeps its priors. Missing data teaches nothing."""
+        for i in self.used():
+            lo = 1 if i in MISSING else 0
+            share = self.seed[i, :, lo:].sum(1, keepdims=True)
+            total = counts[i, :, lo:].sum(1, keepdims=True)
+            prior = PRIOR * np.maximum(total, 50)
+            self.emit[i, :, lo:] = (share * counts[i, :, lo:] + prior * self.seed[i, :, lo:]) / (total + prior)
+        moves = moves + 50 * np.array(STAY)
+        self.move = moves / moves.sum(1, keepdims=True)
+
+    def used(self) -> list[int]:
+        ready = {"unknown": len(self.keys), "lexicon": self.labelled, "triples": self.usual, "frames": self.usual}
+        return [i for i, name in enumerate(STATS) if i in FORM or ready[name]]
 
     def log_emissions(self, bins: np.ndarray) -> np.ndarray:
-        used = [i for i in range(len(STATS)) if self.lexicon is not None or i not in LEXICAL]
         log = np.log(np.maximum(self.emit, 1e-6))
-        weight = [WEIGHT.get(name, 0.7) for name in STATS]
-        log[list(STATS).index("triples"), :, 0] = 0  # a line without triples to judge: no evidence
-        return sum(weight[i] * log[i][:, bins[:, i]].T for i in used)
+        log[MISSING, :, 0] = 0
+        names = list(STATS)
+        return sum(WEIGHT.get(names[i], 0.7) * log[i][:, bins[:, i]].T for i in self.used())
+
+    def rates(self, c: Chunk) -> np.ndarray:
+        """How often the pairs of each line come back, in the quadratic mean; 0 where a line has too few to tell its frame."""
+        key, at = pairs_of(c)
+        there = self.find(key)
+        at, back = at[there >= 0], self.back[there[there >= 0]].astype(float)
+        of, size = np.bincount(at, minlength=len(c.form)), np.diff(c.begin)
+        told = (c.plain[:, 5] > 0) & (size > 3) & (2 * of >= size)
+        return np.where(told, np.sqrt(np.bincount(at, back * back, len(c.form)) / np.maximum(of, 1)), 0.0)
+
+    def bins(self, c: Chunk) -> np.ndarray:
+        """(lines, STATS) bins of the different lines of a chunk."""
+        out = np.zeros((len(c.form), len(STATS)), np.int64)
+        out[:, FORM] = c.form
+        if not len(self.keys) or not len(c.form):
+            return out
+        n = len(c.form)
+        place = self.find(c.hashed)
+        place = np.where(self.docs[place] >= MIN_DOCS, place, -1)
+        word, line = c.words()
+        words = np.bincount(line, minlength=n)
+
+        def share(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            of = np.bincount(at, minlength=n)
+            return of, np.bincount(at, value, n) / np.maximum(of, 1)
+
+        if self.labelled:
+            odds = np.where(place >= 0, self.odds[place], np.nan)[word]
+            known = ~np.isnan(odds)
+            of, mean = share(line[known], odds[known])
+            # If most words are unknown, what is left says little about the line.
+            out[:, PLACE["lexicon"]] = np.where((of > 0) & (2 * of >= words), 1 + np.searchsorted(ODDS_EDGES, mean), 0)
+        if self.usual:
+            key, at, token = triples_of(c)
+            rarest = np.where(place >= 0, self.docs[place], 0)[token].min(1, initial=2**31 - 1)
+            there = self.find(key)
+            # A word that is misread, or too rare for a common triple to be known, spoils its triples, which then say nothing.
+            seen = (there >= 0) & (self.docs[there] >= MIN_DOCS)
+            judged = seen | (FIXED * rarest >= self.least)
+            common = seen & (self.docs[there] >= FIXED * rarest) & (self.back[there] <= SPREAD * self.usual)
+            of, mean = share(at[judged], common[judged])
+            out[:, PLACE["triples"]] = np.where((of > 0) & (words > 3) & (c.plain[:, 5] > 0), 1 + np.searchsorted(TRIPLE_EDGES, mean), 0)
+            rate = self.rates(c)
+            out[:, PLACE["frames"]] = np.where(rate > 0, 1 + np.searchsorted(FRAME_EDGES, rate / self.usual), 0)
+        plain = (c.kind & 4)[word] > 0
+        of, mean = share(line[plain], place[word[plain]] < 0)
+        out[:, PLACE["unknown"]] = np.where(c.plain[:, 4] > 0, 1 + np.searchsorted(UNKNOWN_EDGES, mean), 0)
+        return out
 
 
 def posteriors(log_b: np.ndarray, n: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -223,148 +451,115 @@ def posteriors(log_b: np.ndarray, n: np.ndarray, model: Model) -> tuple[np.ndarr
     return gamma / gamma.sum(1, keepdims=True), moves
 
 
-class Lines:
-    """The different lines of a task with their statistics; ``figures`` adds the plain ones for the result."""
+def parsed(docs: DataFrame) -> DataFrame:
+    """The parsed documents, in a table that all later jobs read: doc_id (of a chunk's documents) and the parts of Chunk."""
+    key = dict(docs.dtypes)["doc_id"]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK)))
+                part = b.slice(at, to - at)
+                row = parse(part["text"].to_pylist()).row()
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part["doc_id"])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in row)], ["doc_id", *Chunk.TYPES])
+                at = to
 
-    def __init__(self, model: Model, figures: bool = False):
-        self.model, self.figures = model, figures
-        self.reset()
+    return durable(docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id array<{key}>, " + ", ".join(f"{f} binary" for f in Chunk.TYPES)))
 
-    def reset(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.words: list[list[str]] = []
-        self.bins: list[list[int]] = []
-        self.plain: list[tuple[int, int, int, int, bool, int]] = []
 
-    def id_of(self, line: str) -> int:
-        said = content(line)
-        if said is None:
-            self.ids[line] = -1
-            return -1
-        words = WORD.findall(said.lower())
-        letters = sum(map(len, words))
-        dense = "".join(said.split())
-        plain = len(dense) if dense.isascii() else len(dense.encode("ascii", "ignore"))
-        self.bins.append(statistics(said, dense, plain, letters) + (lexical(words, said, self.model, letters) if self.model.lexicon is not None else [0, 0, 0]))
-        self.words.append(words)
-        if self.figures:
-            signs = len(dense) - letters - sum(map(str.isdigit, dense))
-            self.plain.append((len(words), letters, signs, len(said), said[-1] in SENTENCE_END, len([w for w in words if w in self.model.common])))
-        self.ids[line] = found = len(self.words) - 1
-        return found
-
-    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(line ids of all documents, the number of lines of each); blank and set-aside lines are left out."""
-        out, n = [], np.zeros(len(texts), np.int64)
-        id_of, ids = self.id_of, self.ids
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            before = len(out)
-            for line in SPLIT.split(text) if "\r" in text else text.split("\n"):
-                if "-->" in line or line.isdigit():
-                    continue
-                line = line.strip(" \t﻿　\xa0")
-                if line:
-                    k = ids.get(line)
-                    if k is None:
-                        k = id_of(line)
-                    if k >= 0:
-                        out.append(k)
-            n[i] = len(out) - before
-        return np.array(out, np.int64), n
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], lines: Lines) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     for b in batches:
-        texts = b["text"]
-        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK)))
-            part = b.slice(at, to - at)
-            yield part, part["text"].to_pylist()
-            at = to
+        for i in range(b.num_rows):
+            yield b.slice(i, 1), Chunk.of({f: b[f][i].as_buffer() for f in Chunk.TYPES})
+
 
+def _count(chunks: DataFrame) -> DataFrame:
+    """key, docs, lines, pairs, back of every word, pair and triple of the corpus; key 0 has the numbers of all (document, line) pairs in ``lines``."""
 
-def _round(docs: DataFrame, model: Model) -> DataFrame:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c in _read(batches):
+            key, *sums = counts_of(c)
+            every = len(np.unique(np.repeat(np.arange(len(c.n)), c.n) * np.int64(max(1, len(c.form))) + c.ids))
+            cols = [np.append(key.view(np.int64), 0), *(np.append(s, x).astype(np.int64) for s, x in zip(sums, (len(c.n), every, 0, 0)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "docs", "lines", "pairs", "back"])
+
+    parts = chunks.drop("doc_id").mapInArrow(kernel, "key bigint, docs bigint, lines bigint, pairs bigint, back bigint")
+    return parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("docs", "lines", "pairs", "back")))
+
+
+def _round(chunks: DataFrame, model: Model) -> DataFrame:
     """One round's expected counts: (what, key, prose, other), summed over all documents.
 
-    ``what`` is word (lines of a word or triple of words, by label), emit or move (one row a cell of the tables).
+    ``what`` is word (documents of the word at place ``key``, by label), emit or move (one row a cell of the tables)
+    or rate (lines of prose at a step of RATES).
     """
+    sent = chunks.sparkSession.sparkContext.broadcast(model)  # its size is bounded by MIN_SHARE
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Lines(model)
+        model = sent.value
         counts, moves = np.zeros((len(STATS), 4, WIDTH)), np.zeros((4, 4))
-        words: dict[str, list[float]] = {}
-        weight = np.zeros((0, 4))
-
-        def flush() -> None:
-            for mine, w in zip(lines.words, weight.tolist()):
-                prose, other = w[0], w[1] + w[2] + w[3]
-                for x in {*mine, *map(" ".join, zip(mine, mine[1:], mine[2:]))}:
-                    if x in words:
-                        words[x][0] += prose
-                        words[x][1] += other
-                    else:
-                        words[x] = [prose, other]
-            bins = np.array(lines.bins, np.int64).reshape(-1, len(STATS))
+        words, rates = np.zeros((2, len(model.keys))), np.zeros(len(RATES))
+        for _, c in _read(batches):
+            if not len(c.ids):
+                continue
+            bins = model.bins(c)
+            gamma, m = posteriors(model.log_emissions(bins)[c.ids], c.n.astype(np.int64), model)
+            moves += m
+            weight = np.stack([np.bincount(c.ids, gamma[:, k], len(bins)) for k in range(4)], 1)
             for i in range(len(STATS)):
                 for k in range(4):
                     counts[i, k] += np.bincount(bins[:, i], weight[:, k], WIDTH)
-            lines.reset()
-
-        for _, texts in _pieces(batches, lines):
-            ids, n = lines.documents(texts)
-            bins = np.array(lines.bins, np.int64).reshape(-1, len(STATS))
-            if len(ids):
-                gamma, m = posteriors(model.log_emissions(bins)[ids], n, model)
-                moves += m
-                weight = np.concatenate([weight, np.zeros((len(bins) - len(weight), 4))])
-                for k in range(4):
-                    weight[:, k] += np.bincount(ids, gamma[:, k], len(bins))
-            if len(lines.words) > LINES:
-                flush()
-                weight = np.zeros((0, 4))
-        if len(lines.words):
-            flush()
-        what = ["word"] * len(words) + ["emit"] * counts.size + ["move"] * 16
-        key = [*words, *map(str, range(counts.size)), *map(str, range(16))]
-        prose = [w[0] for w in words.values()] + counts.ravel().tolist() + moves.ravel().tolist()
-        other = [w[1] for w in words.values()] + [0.0] * (counts.size + 16)
-        yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(key), pa.array(prose), pa.array(other)], ["what", "key", "prose", "other"])
-
-    parts = docs.select("text").where("text IS NOT NULL").mapInArrow(kernel, "what string, key string, prose double, other double")
+            rate = model.rates(c)
+            rates += np.bincount(np.minimum(np.searchsorted(RATES, rate[rate > 0]), len(RATES) - 1), weight[rate > 0, 0], len(RATES))
+            # A document counts once for each of its words, shared between prose and the rest.
+            place = model.find(c.hashed)
+            word, line = c.words()
+            word, line = place[word][place[word] >= 0], line[place[word] >= 0]
+            first = np.searchsorted(line, np.arange(len(bins) + 1))
+            size = (first[1:] - first[:-1])[c.ids]
+            at = np.repeat(first[c.ids] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            cell = np.repeat(np.repeat(np.arange(len(c.n)), c.n), size) * np.int64(max(1, len(model.keys))) + word[at]
+            cell, inverse = np.unique(cell, return_inverse=True)
+            share = np.bincount(inverse, np.repeat(gamma[:, 0], size), len(cell)) / np.maximum(np.bincount(inverse, minlength=len(cell)), 1)
+            words[0] += np.bincount(cell % max(1, len(model.keys)), share, len(model.keys))
+            words[1] += np.bincount(cell % max(1, len(model.keys)), 1 - share, len(model.keys))
+        some = np.flatnonzero(words.sum(0))
+        tables = {"emit": counts.ravel(), "move": moves.ravel(), "rate": rates}
+        what = pa.array(np.repeat(["word", *tables], [len(some), *map(len, tables.values())]))
+        key = np.concatenate([some, *(np.arange(len(t)) for t in tables.values())])
+        prose = np.concatenate([words[0, some], *tables.values()])
+        other = np.concatenate([words[1, some], np.zeros(len(prose) - len(some))])
+        yield pa.RecordBatch.from_arrays([what, pa.array(key), pa.array(prose), pa.array(other)], ["what", "key", "prose", "other"])
+
+    parts = chunks.drop("doc_id").mapInArrow(kernel, "what string, key bigint, prose double, other double")
     return parts.groupBy("what", "key").agg(F.sum("prose").alias("prose"), F.sum("other").alias("other"))
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model trained on all documents; what reaches the driver is the tables and at most LEXICON words and triples."""
+def fit(chunks: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model trained on all chunks of ``parsed``; what reaches the driver is bounded by MIN_SHARE."""
     model = Model()
+    counted = durable(_count(chunks))
+    every = counted.where("key = 0").agg(F.sum("lines")).first()[0] or 0
+    known = counted.where((F.col("key") != 0) & (F.col("lines") >= max(MIN_LINES, MIN_SHARE * every))).toArrow()
+    cols = [known[c].to_numpy() for c in ("key", "docs", "lines", "pairs", "back")]
+    model.know(cols[0].astype(np.int64).view(np.uint64), *cols[1:])
     for _ in range(rounds):
-        summed = _round(docs, model)
-        tables = F.col("what") != "word"
-        least = 2
-        # The tables are of fixed size, the words the LEXICON most frequent ones.
-        rows = summed.where(tables | (F.col("prose") + F.col("other") >= least)).orderBy(tables.desc(), (F.col("prose") + F.col("other")).desc()).limit(len(STATS) * 4 * WIDTH + 16 + LEXICON).collect()
-        counts, moves = np.zeros(len(STATS) * 4 * WIDTH), np.zeros(16)
-        for r in rows:
-            if r["what"] != "word":
-                (counts if r["what"] == "emit" else moves)[int(r["key"])] = r["prose"]
-        counts = counts.reshape(len(STATS), 4, WIDTH)
-        if counts.sum() == 0:
+        rows = _round(chunks, model).toArrow()
+        what, key, prose, other = (rows[c].to_numpy() for c in ("what", "key", "prose", "other"))
+        tables = []
+        for name, size in (("emit", model.emit.size), ("move", 16), ("rate", len(RATES))):
+            table = np.zeros(size)
+            table[key[what == name]] = prose[what == name]
+            tables.append(table)
+        if tables[0].sum() == 0:
             return model
-        model.learn(counts, moves.reshape(4, 4))
-        by_kind = counts[0].sum(1)
-        prose, other = by_kind[0] + 1, by_kind[1:].sum() + 1
-        need, need_triple = max(MIN_LINES, MIN_SHARE * by_kind.sum()), max(2, TRIPLE_SHARE * by_kind.sum())
-        # Common triples are those of prose: lists repeat theirs too.
-        model.triples = frozenset(r["key"] for r in rows if r["what"] == "word" and " " in r["key"] and r["prose"] + r["other"] >= need_triple and r["prose"] * other > r["other"] * prose)
-        words = [r for r in rows if r["what"] == "word" and " " not in r["key"] and r["prose"] + r["other"] >= need]
-        model.usual = frozenset(r["key"] for r in words if r["prose"] + r["other"] >= need_triple)
-        # Shares of the lines of either kind; half a line each keeps the odds finite.
-        model.lexicon = {r["key"]: math.log((r["prose"] + 0.5) / (prose + 1)) - math.log((r["other"] + 0.5) / (other + 1)) for r in words}
-        model.common = frozenset(sorted((r["key"] for r in words if model.lexicon[r["key"]] > 0), key=dict((r["key"], -r["prose"]) for r in words).get)[:COMMON])
+        model.learn(tables[0].reshape(model.emit.shape), tables[1].reshape(4, 4))
+        model.learn_rate(tables[2])
+        mine = what == "word"
+        model.learn_words(key[mine], prose[mine], other[mine])
     return model
 
 
@@ -374,43 +569,45 @@ RESULT = (
 )
 
 
-def document_quality(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def document_quality(docs: DataFrame) -> DataFrame:
     """doc_id, counts, statistics and label shares of every document's lines.
 
     n_lines counts the lines left after blank lines, cue numbers, times, markup, sounds and adverts are set
     aside. A null, empty or blank text, or one with nothing left, has n_lines 0 and null shares. A text of
     one very long line is one line. Repeated rows stay repeated; other columns are ignored.
     """
-    model = model or fit(docs)
+    chunks = parsed(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(chunks))
     key = dict(docs.dtypes)["doc_id"]
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Lines(model, figures=True)
-        for part, texts in _pieces(batches, lines):
-            ids, n = lines.documents(texts)
-            bins = np.array(lines.bins, np.int64).reshape(-1, len(STATS))
-            plain = np.array(lines.plain, float).reshape(-1, 6)
-            doc = np.repeat(np.arange(len(texts)), n)
-            sums = np.zeros((len(texts), 10))
+        model = sent.value
+        for row, c in _read(batches):
+            ids, size = c.ids, len(c.n)
+            doc = np.repeat(np.arange(size), c.n)
+            sums = np.zeros((size, 10))
             if len(ids):
-                gamma, _ = posteriors(model.log_emissions(bins)[ids], n, model)
-                for j in range(6):
-                    sums[:, j] = np.bincount(doc, plain[ids, j], len(texts))
+                word, line = c.words()
+                place = model.find(c.hashed)
+                common = (np.where(place >= 0, model.common[place], False) if len(model.keys) else np.zeros(len(place), bool))[word]
+                n = len(c.form)
+                figures = [np.bincount(line, minlength=n), *(c.plain[:, j] for j in range(4)), np.bincount(line, common, n)]
+                for j, x in enumerate(figures):
+                    sums[:, j] = np.bincount(doc, x[ids], size)
+                gamma, _ = posteriors(model.log_emissions(model.bins(c))[ids], c.n.astype(np.int64), model)
                 for k in range(4):
-                    sums[:, 6 + k] = np.bincount(doc, gamma[:, k], len(texts))
+                    sums[:, 6 + k] = np.bincount(doc, gamma[:, k], size)
 
             def share(a: np.ndarray, of: np.ndarray) -> pa.Array:
                 return pa.array(np.divide(a, of, out=np.zeros(len(a)), where=of > 0), mask=of <= 0)
 
-            count = n.astype(float)
-            cols = [pa.array(n), pa.array(sums[:, 0].astype(np.int64)), share(sums[:, 1], sums[:, 0]), share(sums[:, 2], sums[:, 3]), share(sums[:, 4], count), share(sums[:, 5], sums[:, 0])]
+            count = c.n.astype(float)
+            cols = [pa.array(c.n.astype(np.int64)), pa.array(sums[:, 0].astype(np.int64)), share(sums[:, 1], sums[:, 0]), share(sums[:, 2], sums[:, 3]), share(sums[:, 4], count), share(sums[:, 5], sums[:, 0])]
             cols += [share(sums[:, 6 + k], count) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], *cols], ["doc_id", *names])
-            if len(lines.words) > LINES:
-                lines.reset()
+            yield pa.RecordBatch.from_arrays([pc.list_flatten(row["doc_id"]), *cols], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {key}, {RESULT}")
+    return chunks.mapInArrow(kernel, f"doc_id {key}, {RESULT}")
 
 
 def not_speech(docs: DataFrame) -> DataFrame:
