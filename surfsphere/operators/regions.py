@@ -2,13 +2,15 @@
 
 Regions are prisms: a simple polygon in the x-y plane between two heights. Polygons are cut into triangles
 by ear clipping; the triangles are handed out over a bounding-volume hierarchy whose upper tier are cubic
-nodes in space, spread over the cluster by hash, and whose lower tier are the child boxes inside a node,
-walked by the kernel of a task. Every candidate is then tested exactly, and a point on an edge that two
-triangles of a region share is assigned to that region once.
-
-A point belongs to exactly one node of each tier level, a triangle to all nodes that its box touches, so
-points are never copied and no pair is met twice in different tasks. Nodes with very many points are
-split by a salt, their triangles are copied to every part.
+nodes in space, spread over the cluster by hash, and below which every node has its own hierarchy of
+bounding boxes, built of the triangles that lie in it and walked by the kernel of a task. Every candidate is
+then tested exactly, and a point on an edge that two triangles of a region share is assigned to that region
+once.
+
+A point belongs to exactly one node of each tier level, a triangle to all nodes that its box touches. A count
+by node comes first: it gives the number of tasks, and nodes with very many points or triangles are split
+into a grid of parts, points by rows and regions by columns. Tasks read their nodes sorted, one after the
+other, and hold a few at a time.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import buckets
+from ..session import durable
 
-#: Child boxes along an edge of a node.
-FANOUT = 4
-#: Points above which a node is split, and the most candidate pairs tested at once in a task.
-HOT_POINTS, CHUNK = 200_000, 4_000_000
+#: Boxes of the largest triangles along an edge of a node; boxes below a box in a node's hierarchy.
+FANOUT, BRANCH = 4, 8
+#: Points and triangles above which a node is split, and the most candidate pairs tested at once in a task.
+HOT_POINTS, HOT_TRIANGLES, CHUNK = 200_000, 100_000, 4_000_000
+#: Rows of a task on average, rows held at once, and split nodes that are sent to all tasks (more of them are joined by a shuffle).
+TASK, HELD, SENT = 1_000_000, 400_000, 100_000
 
 
 def ear_clip(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -110,74 +114,117 @@ def _node(scope: Column, level: Column, x: Column, y: Column, z: Column) -> Colu
     return F.xxhash64(scope, level, x, y, z)
 
 
-def _leaf_kernel(edge: float, radius: float | None):
-    """Joins one bucket's points with its triangles; both come as Arrow tables."""
-    child = edge / FANOUT
-
-    def join(points: pa.Table, tris: pa.Table) -> pa.Table:
-        names = ["scope", "point_id", "region_id"]
-        empty = pa.Table.from_arrays([points["scope"].slice(0, 0), points["point_id"].slice(0, 0), tris["region_id"].slice(0, 0)], names)
-        if not points.num_rows or not tris.num_rows:
-            return empty
-        xyz = points["p"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
-        g = tris["g"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 11)
-        size = edge * np.exp2(points["level"].to_numpy())
-        p_leaf, t_leaf = points["leaf"].to_numpy(), tris["leaf"].to_numpy()
-        leaves, p_at = np.unique(p_leaf, return_inverse=True)
-        t_at = np.minimum(np.searchsorted(leaves, t_leaf), len(leaves) - 1)
-        live = leaves[t_at] == t_leaf
-        tri_row = np.flatnonzero(live)
-        t_at, g = t_at[live], g[live]
-        if not len(g):
-            return empty
-        t_level = tris["level"].to_numpy()[live]
-        node = np.stack([tris[c].to_numpy()[live] for c in ("nx", "ny", "nz")], 1).astype(float)
-        # Child boxes: those of a point, and the range of those that a triangle's box touches in its node.
-        cell = np.floor((xyz / size[:, None] - np.floor(xyz / size[:, None])) * FANOUT).astype(np.int64).clip(0, FANOUT - 1)
-        p_key = ((p_at * FANOUT + cell[:, 0]) * FANOUT + cell[:, 1]) * FANOUT + cell[:, 2]
-        order = np.argsort(p_key, kind="stable")
-        first = np.searchsorted(p_key[order], np.arange(len(leaves) * FANOUT**3 + 1))
-        scale = (child * np.exp2(t_level))[:, None]
-        lo3 = np.stack([g[:, [0, 2, 4]].min(1), g[:, [1, 3, 5]].min(1), g[:, 6]], 1)
-        hi3 = np.stack([g[:, [0, 2, 4]].max(1), g[:, [1, 3, 5]].max(1), g[:, 7]], 1)
-        # One box more on either side than rounding could ask for is not needed: the slack is relative.
-        lo = np.floor(lo3 / scale - node * FANOUT - 1e-9 * (1 + np.abs(lo3 / scale))).clip(0, FANOUT - 1).astype(np.int64)
-        hi = np.floor(hi3 / scale - node * FANOUT + 1e-9 * (1 + np.abs(hi3 / scale))).clip(0, FANOUT - 1).astype(np.int64)
-        span = hi - lo + 1
-        n_child = span.prod(1)
-        row = np.repeat(np.arange(len(g)), n_child)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n_child) - n_child, n_child)
-        dz, rest = k % span[row, 2], k // span[row, 2]
-        dy, dx = rest % span[row, 1], rest // span[row, 1]
-        c = lo[row] + np.stack([dx, dy, dz], 1)
-        key = ((t_at[row] * FANOUT + c[:, 0]) * FANOUT + c[:, 1]) * FANOUT + c[:, 2]
-        begin, count = first[key], first[key + 1] - first[key]
-        used = count > 0
-        row, begin, count = row[used], begin[used], count[used]
-        found_p, found_t = [], []
-        edges = np.cumsum(count)
-        cut = np.concatenate([[0], np.unique(np.searchsorted(edges, np.arange(CHUNK, edges[-1] + CHUNK, CHUNK), "left") + 1).clip(0, len(row))]) if len(row) else [0]
-        for a, z in zip(cut[:-1], cut[1:]):
-            cnt = count[a:z]
-            t = np.repeat(row[a:z], cnt)
-            off = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            p = order[np.repeat(begin[a:z], cnt) + off]
-            q, h = xyz[p], g[t]
-            hit = (q[:, 2] >= h[:, 6]) & (q[:, 2] <= h[:, 7])
-            for i, j in ((0, 2), (2, 4), (4, 0)):  # triangles run counter-clockwise; edges belong to them
-                hit &= (h[:, j] - h[:, i]) * (q[:, 1] - h[:, i + 1]) - (h[:, j + 1] - h[:, i + 1]) * (q[:, 0] - h[:, i]) >= 0
-            if radius is not None:
-                hit &= ((q - h[:, 8:11]) ** 2).sum(1) <= radius * radius
-            found_p.append(p[hit])
-            found_t.append(tri_row[t[hit]])
-        if not found_p:
-            return empty
-        p, t = pa.array(np.concatenate(found_p)), pa.array(np.concatenate(found_t))
-        out = pa.Table.from_arrays([points["scope"].take(p), points["point_id"].take(p), tris["region_id"].take(t)], names)
-        out = out.filter(pc.equal(out["scope"], tris["scope"].take(t)))  # should two nodes share a hash
-        return out.group_by(names).aggregate([])  # a shared edge, a repeated point or a repeated region counts once
-
-    return join
+def _hierarchy(lo: np.ndarray, hi: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """(order of the triangles, tiers) of the box hierarchies of all nodes; ``node`` numbers the nodes, each has triangles.
+
+    Triangles of a node are ordered along a Morton curve of their middles; BRANCH boxes in a row go under one box, tier by
+    tier, until a node has one. A tier is (lo, hi, first box below, boxes below); the last one has one box per node.
+    """
+    starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    middle = (lo + hi) / 2
+    low, high = np.minimum.reduceat(middle, starts), np.maximum.reduceat(middle, starts)
+    at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(node))))
+    cell = ((middle - low[at]) / np.maximum(high - low, 1e-300)[at] * 1023).astype(np.int64)
+    code = np.zeros(len(node), np.int64)
+    for bit in range(10):
+        for axis in range(3):
+            code |= ((cell[:, axis] >> bit) & 1) << (3 * bit + axis)
+    order = np.lexsort((code, at))
+    lo, hi = lo[order], hi[order]
+    tiers = [(lo, hi, None, None)]
+    while True:
+        size = np.bincount(at)
+        first = np.cumsum(size) - size
+        inside = np.arange(len(at)) - first[at]
+        begin = np.flatnonzero(inside % BRANCH == 0)
+        count = np.diff(np.append(begin, len(at)))
+        lo, hi, at = np.minimum.reduceat(lo, begin), np.maximum.reduceat(hi, begin), at[begin]
+        tiers.append((lo, hi, begin, count))
+        if len(at) == len(starts):
+            return order, tiers
+
+
+def _met(xyz: np.ndarray, p: np.ndarray, root: np.ndarray, g: np.ndarray, tiers: list[tuple[np.ndarray, ...]], radius: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(points, triangles) where the point is in the triangle's prism: points ``p`` go down from the boxes ``root``."""
+    found_p, found_t = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    open_pairs = [(len(tiers) - 1, p, root)]
+    while open_pairs:
+        tier, p, box = open_pairs.pop()
+        lo, hi, begin, count = tiers[tier]
+        q = xyz[p]
+        hit = ((q >= lo[box]) & (q <= hi[box])).all(1)
+        p, box = p[hit], box[hit]
+        if not len(p):
+            continue
+        if tier:
+            n = count[box]
+            if n.sum() > CHUNK and len(p) > 1:
+                half = len(p) // 2
+                open_pairs += [(tier, p[:half], box[:half]), (tier, p[half:], box[half:])]
+                continue
+            below = np.repeat(begin[box] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            open_pairs.append((tier - 1, np.repeat(p, n), below))
+            continue
+        q, h = xyz[p], g[box]
+        hit = (q[:, 2] >= h[:, 6]) & (q[:, 2] <= h[:, 7])
+        for i, j in ((0, 2), (2, 4), (4, 0)):  # triangles run counter-clockwise; edges belong to them
+            hit &= (h[:, j] - h[:, i]) * (q[:, 1] - h[:, i + 1]) - (h[:, j + 1] - h[:, i + 1]) * (q[:, 0] - h[:, i]) >= 0
+        if radius is not None:
+            hit &= ((q - h[:, 8:11]) ** 2).sum(1) <= radius * radius
+        found_p.append(p[hit])
+        found_t.append(box[hit])
+    return np.concatenate(found_p), np.concatenate(found_t)
+
+
+def _node_kernel(radius: float | None):
+    """Joins the points and triangles of nodes that come sorted by (leaf, salt)."""
+
+    def join(rows: pa.Table) -> pa.Table | None:
+        is_point = rows["is_point"].to_numpy()
+        point_at, tri_at = np.flatnonzero(is_point), np.flatnonzero(~is_point)
+        if not len(point_at) or not len(tri_at):
+            return None
+        leaf, salt = rows["leaf"].to_numpy(), rows["salt"].to_numpy()
+        node = np.cumsum(np.append(0, (leaf[1:] != leaf[:-1]) | (salt[1:] != salt[:-1])))
+        xyz = rows["g"].filter(rows["is_point"]).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+        g = rows["g"].filter(pc.invert(rows["is_point"])).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 11)
+        lo = np.stack([g[:, [0, 2, 4]].min(1), g[:, [1, 3, 5]].min(1), g[:, 6]], 1)
+        hi = np.stack([g[:, [0, 2, 4]].max(1), g[:, [1, 3, 5]].max(1), g[:, 7]], 1)
+        order, tiers = _hierarchy(lo - 1e-9 * (1 + np.abs(lo)), hi + 1e-9 * (1 + np.abs(hi)), node[tri_at])
+        filled = np.unique(node[tri_at])
+        root = np.searchsorted(filled, node[point_at]).clip(max=len(filled) - 1)
+        live = np.flatnonzero(filled[root] == node[point_at])
+        p, t = _met(xyz, live, root[live], g[order], tiers, radius)
+        if not len(p):
+            return None
+        p, t = pa.array(point_at[p]), pa.array(tri_at[order[t]])
+        out = pa.Table.from_arrays([rows["scope"].take(p), rows["point_id"].take(p), rows["region_id"].take(t)], ["scope", "point_id", "region_id"])
+        out = out.filter(pc.equal(out["scope"], rows["scope"].take(t)))  # should two nodes share a hash
+        return out.group_by(out.column_names).aggregate([])  # a shared edge, a repeated point or a repeated region counts once
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size >= HELD:
+                rows = pa.Table.from_batches(held)
+                leaf, salt = rows["leaf"].to_numpy(), rows["salt"].to_numpy()
+                ended = int(np.flatnonzero((leaf != leaf[-1]) | (salt != salt[-1])).max(initial=-1)) + 1  # the last node may go on
+                if ended:
+                    met = join(rows.slice(0, ended))
+                    if met is not None:
+                        yield from met.to_batches()
+                    held = rows.slice(ended).to_batches()
+                    size = rows.num_rows - ended
+        met = join(pa.Table.from_batches(held)) if held else None
+        if met is not None:
+            yield from met.to_batches()
+
+    return kernel
 
 
 def region_join(points: DataFrame, regions: DataFrame, edge: float, radius: float | None = None, levels: list[int] | None = None) -> DataFrame:
@@ -212,27 +259,40 @@ def region_join(points: DataFrame, regions: DataFrame, edge: float, radius: floa
         cells = F.sequence(F.floor(lo - slack * (1 + F.abs(lo))), F.floor(hi + slack * (1 + F.abs(hi))))
         tri = tri.withColumn(f"n{axis}", F.explode(cells))
     n = [F.col(f"n{a}") for a in "xyz"]
-    tri = tri.select("scope", "region_id", "g", "level", "nx", "ny", "nz", _node(F.col("scope"), F.col("level"), *n).alias("leaf"))
+    tri = tri.select("scope", "region_id", "g", _node(F.col("scope"), F.col("level"), *n).alias("leaf"))
 
     pts = points.select("scope", "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z"))
     finite = [F.abs(c) < float("inf") for c in "xyz"]  # false for NaN, null for null
     pts = pts.where(F.col("scope").isNotNull() & finite[0] & finite[1] & finite[2])
     pts = pts.withColumn("level", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels))))
     at = [F.floor(F.col(a) / size) for a in "xyz"]
-    pts = pts.select("scope", "point_id", F.array("x", "y", "z").alias("p"), "level", _node(F.col("scope"), F.col("level"), *at).alias("leaf"))
-    # Nodes above HOT_POINTS are at most rows / HOT_POINTS, and the largest 10,000 of them are split.
-    hot = pts.groupBy("leaf").count().where(F.col("count") > HOT_POINTS).orderBy(F.desc("count")).limit(10_000)
-    hot = F.broadcast(hot.select("leaf", F.ceil(F.col("count") / HOT_POINTS).cast("int").alias("parts")))
-    width = buckets(spark)
-    part = F.coalesce("parts", F.lit(1))
-    pts = pts.join(hot, "leaf", "left").withColumn("salt", F.pmod(F.xxhash64("point_id", "p"), part).cast("int"))
-    tri = tri.join(hot, "leaf", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), part - 1)))
-    bucket = F.pmod(F.xxhash64("leaf", "salt"), F.lit(width)).cast("int").alias("bucket")
-    pts = pts.select("scope", "point_id", "p", "level", "leaf", bucket)
-    tri = tri.select("scope", "region_id", "g", "level", "nx", "ny", "nz", "leaf", bucket)
-    types = dict(points.dtypes)["point_id"], dict(regions.dtypes)["region_id"]
-    pairs = pts.groupBy("bucket").cogroup(tri.groupBy("bucket")).applyInArrow(_leaf_kernel(edge, radius), f"scope string, point_id {types[0]}, region_id {types[1]}")
-    return pairs if len(levels) == 1 else pairs.distinct()
+    pts = pts.select("scope", "point_id", F.array("x", "y", "z").alias("p"), _node(F.col("scope"), F.col("level"), *at).alias("leaf"))
+    counts = pts.select("leaf", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(tri.select("leaf", F.lit(0).alias("p"), F.lit(1).alias("t")))
+    counts = durable(counts.groupBy("leaf").agg(F.sum("p").alias("p"), F.sum("t").alias("t")))
+    many = (F.col("p") > HOT_POINTS) | (F.col("t") > HOT_TRIANGLES)
+    total, n_hot = counts.agg(F.coalesce(F.sum(F.col("p") + F.col("t")), F.lit(0)), F.count_if(many)).first()
+    hot = counts.where(many).select("leaf", *(F.ceil(F.col(c) / most).cast("int").alias(f"{c}_parts") for c, most in (("p", HOT_POINTS), ("t", HOT_TRIANGLES))))
+    hot = F.broadcast(hot) if n_hot <= SENT else hot
+    null = {c: F.lit(None).cast(t) for c, t in (("point_id", dict(pts.dtypes)["point_id"]), ("region_id", dict(tri.dtypes)["region_id"]))}
+    pts = pts.select("scope", "point_id", null["region_id"].alias("region_id"), F.col("p").alias("g"), F.lit(True).alias("is_point"), "leaf")
+    tri = tri.select("scope", null["point_id"].alias("point_id"), "region_id", "g", F.lit(False).alias("is_point"), "leaf")
+    if n_hot:
+        # Copies of a point or region go to one part, so in split nodes there must be one of each.
+        row, column = F.pmod(F.xxhash64("point_id", "g"), F.col("p_parts")), F.pmod(F.xxhash64("region_id"), F.col("t_parts"))
+        every_row, every_column = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("p_parts", "t_parts"))
+        rows = []
+        for side, r, c in ((pts, row, every_column), (tri, every_row, column)):
+            marked = side.join(hot, "leaf", "left").select(*side.columns, "p_parts", "t_parts")
+            rows.append(marked.where("p_parts IS NULL").select(*side.columns, F.lit(0).alias("salt")))
+            split = marked.where("p_parts IS NOT NULL").distinct().withColumn("r", r).withColumn("c", c)
+            rows.append(split.select(*side.columns, (F.col("r") * F.col("t_parts") + F.col("c")).cast("int").alias("salt")))
+        both = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    else:
+        both = pts.unionByName(tri).withColumn("salt", F.lit(0))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, total // TASK)
+    sorted_nodes = both.repartition(tasks, "leaf", "salt").sortWithinPartitions("leaf", "salt")
+    pairs = sorted_nodes.mapInArrow(_node_kernel(radius), ", ".join(f"{c} {dict(both.dtypes)[c]}" for c in ("scope", "point_id", "region_id")))
+    return pairs.distinct()
 
 
 def footprints(centres: DataFrame, radius: float, corners: int = 4) -> DataFrame:
