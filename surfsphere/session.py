@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,16 @@ def get_spark(app: str = "surfsphere", cores: int | str | None = None, **conf: s
 def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage into the cluster's shared checkpoint folder, so that a lost executor costs nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary
-    one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a
+    temporary one; on a cluster that is an error, as the nodes share no such folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
 
 
