@@ -30,7 +30,7 @@ FANOUT, BRANCH = 4, 8
 #: Points and triangles above which a node is split, and the most candidate pairs tested at once in a task.
 HOT_POINTS, HOT_TRIANGLES, CHUNK = 200_000, 100_000, 4_000_000
 #: Rows of a task on average, rows held at once, and split nodes that are sent to all tasks (more of them are joined by a shuffle).
-TASK, HELD, SENT = 1_000_000, 400_000, 100_000
+TASK, HELD, SENT = 250_000, 400_000, 100_000
 
 
 def ear_clip(x: np.ndarray, y: np.ndarray) -> np.ndarray:
