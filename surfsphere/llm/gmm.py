@@ -6,9 +6,10 @@ turned to their principal axes, of which those without spread are left out; mixt
 components are fitted by expectation-maximisation with a regularised covariance, and the Bayesian information
 criterion picks one. Tasks fit many runs of like size at once as batched matrix products.
 
-A component is a cluster of dense poses. An exact check follows: patches of the components that hold poses at
-most LINK_DEGREES apart are joined to one site, a component that falls apart becomes several sites, and pairs
-that the cells can't decide are decided by their poses.
+A component is a cluster. An exact check of the clusters follows, as sites are defined by a distance: within
+each component, patches at most LINK_DEGREES apart are joined, and one that falls apart becomes several
+clusters; then only the clusters' borders are looked at, and clusters whose poses come that near are one site.
+What the cells can't decide is decided by the poses.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import joined, linked_cells
 from ..session import durable
 from .topn import top_n
 
@@ -27,9 +29,13 @@ LINK_DEGREES = 15.0
 #: Cells along the unit axis: an edge is some 0.9 degrees, and a sphere touches some 70,000 of them.
 CELLS, PATCHES = 64, 14
 CELLS_OF_A_SPHERE = 70_000
-#: Numbers of components tried, in this order until the criterion gets worse; rounds of EM; least variance of
-#: a component in standardised units; rows of whole runs that a task treats at once.
-LADDER, ROUNDS, RIDGE, CHUNK = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 12, 0.01, 150_000
+#: Numbers of components tried, in this order until the criterion gets worse PATIENCE times in a row.
+LADDER, PATIENCE = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128), 2
+#: EM goes on until the mean log likelihood of a pose gains less than GAIN, ROUNDS times at most; least variance of a
+#: component in standardised units; rows of whole runs that a task treats at once.
+GAIN, ROUNDS, RIDGE, CHUNK = 1e-3, 60, 0.01, 150_000
+#: Pairs of patches, and of cells, compared at once.
+PAIRS = 4_000_000
 TYPICAL = 3
 
 
@@ -72,16 +78,51 @@ def _theta(weight: np.ndarray, mu: np.ndarray, cov: np.ndarray, dims: np.ndarray
     return np.stack([const, pm[..., 0], pm[..., 1], pm[..., 2], *quad], 1)
 
 
-def _spread_seeds(x: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
-    """The heaviest cell, then again and again the one farthest from all before, heavy ones first: (B, most)."""
-    out = np.empty((len(x), most), int)
-    row, far = np.arange(len(x)), np.full(w.shape, np.inf)
-    pull = np.sqrt(w)
-    out[:, 0] = w.argmax(1)
-    for k in range(1, most):
-        far = np.minimum(far, ((x - x[row, out[:, k - 1]][:, None]) ** 2).sum(2))
-        out[:, k] = (far * pull).argmax(1)
-    return out
+class _Seeds:
+    """The heaviest cell of each run, then again and again the one farthest from all before, heavy ones first."""
+
+    def __init__(self, x: np.ndarray, w: np.ndarray):
+        self.x, self.pull = x, np.sqrt(w)
+        self.far, self.found = np.full(w.shape, np.inf), [w.argmax(1)]
+
+    def first(self, k: int) -> np.ndarray:
+        """(B, k) cells."""
+        row = np.arange(len(self.x))
+        while len(self.found) < k:
+            self.far = np.minimum(self.far, ((self.x - self.x[row, self.found[-1]][:, None]) ** 2).sum(2))
+            self.found.append((self.far * self.pull).argmax(1))
+        return np.stack(self.found[:k], 1)
+
+
+def _fit(q: np.ndarray, w: np.ndarray, dims: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM of mixtures that start at the means ``mu`` (B, K, 3), until they settle: (log densities (B, L, K), their sums (B, L))."""
+    k, total = mu.shape[1], w.sum(1)
+    theta = _theta(np.full(mu.shape[:2], 1.0 / k), mu, np.broadcast_to(np.eye(3) / k ** (2 / 3), (len(mu), k, 3, 3)), dims)
+    open_runs, reached = np.arange(len(mu)), np.full(len(mu), -np.inf)
+    for _ in range(ROUNDS):
+        qb, wb = q[open_runs], w[open_runs]
+        log = np.matmul(qb, theta[open_runs])
+        top = log.max(2, keepdims=True)
+        resp = np.exp(log - top)
+        whole = resp.sum(2)
+        mean = (wb * (top[..., 0] + np.log(whole))).sum(1) / total[open_runs]
+        going = mean - reached[open_runs] >= GAIN
+        reached[open_runs] = mean
+        if not going.any():
+            break
+        open_runs, qb, resp = open_runs[going], qb[going], resp[going] * (wb / whole)[going][..., None]
+        stat = np.matmul(resp.transpose(0, 2, 1), qb)
+        n = np.maximum(stat[..., 0], 1e-9)
+        mean3, square = stat[..., 1:4] / n[..., None], stat[..., 4:] / n[..., None]
+        cov = np.empty((len(open_runs), k, 3, 3))
+        for i in range(3):
+            cov[..., i, i] = square[..., i] - mean3[..., i] ** 2
+        for i, (a, c) in enumerate(((0, 1), (0, 2), (1, 2))):
+            cov[..., a, c] = cov[..., c, a] = square[..., 3 + i] - mean3[..., a] * mean3[..., c]
+        theta[open_runs] = _theta(n / total[open_runs][:, None], mean3, cov + RIDGE * np.eye(3), dims[open_runs])
+    log = np.matmul(q, theta)
+    top = log.max(2)
+    return log, top + np.log(np.exp(log - top[..., None]).sum(2))
 
 
 def fit_mixtures(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,110 +140,102 @@ def fit_mixtures(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     x = np.matmul(x, axes) * kept[:, None, :]
     dims = np.maximum(kept.sum(1), 1)
     q, cells = _quadratic(x), (w > 0).sum(1)
-    most = min(LADDER[-1], w.shape[1])
-    seeds = _spread_seeds(np.where(w[..., None] > 0, x, 0), w, most)
+    seeds = _Seeds(np.where(w[..., None] > 0, x, 0), w)
     best = np.full(len(u), np.inf)
     comp, density, chosen = np.zeros(w.shape, np.int64), np.zeros(w.shape), np.zeros(len(u), np.int64)
-    going = np.ones(len(u), bool)
+    worse = np.zeros(len(u), np.int64)
     for k in LADDER:
-        at = np.flatnonzero(going & (cells >= max(1, 2 * k - 1)))
-        if not len(at) or k > most:
+        at = np.flatnonzero((worse < PATIENCE) & (cells >= max(1, 2 * k - 1)))
+        if not len(at) or k > w.shape[1]:
             break
         step = max(1, 3_000_000 // (w.shape[1] * k))
+        first = seeds.first(k)
         for s in range(0, len(at), step):
             b = at[s : s + step]
-            qb, wb, d = q[b], w[b], dims[b]
-            mu = x[b[:, None], seeds[b, :k]]
-            cov = np.broadcast_to(np.eye(3) / k ** (2 / 3), (len(b), k, 3, 3)).copy()
-            pi = np.full((len(b), k), 1.0 / k)
-            for _ in range(ROUNDS if k > 1 else 2):
-                log = np.matmul(qb, _theta(pi, mu, cov, d))
-                top = log.max(2, keepdims=True)
-                resp = np.exp(log - top)
-                resp *= (wb / resp.sum(2))[..., None]
-                stat = np.matmul(resp.transpose(0, 2, 1), qb)
-                n = np.maximum(stat[..., 0], 1e-9)
-                mu = stat[..., 1:4] / n[..., None]
-                s2 = stat[..., 4:] / n[..., None]
-                cov = np.empty((len(b), k, 3, 3))
-                for i in range(3):
-                    cov[..., i, i] = s2[..., i] - mu[..., i] ** 2
-                for i, (a, c) in enumerate(((0, 1), (0, 2), (1, 2))):
-                    cov[..., a, c] = cov[..., c, a] = s2[..., 3 + i] - mu[..., a] * mu[..., c]
-                cov += RIDGE * np.eye(3)
-                pi = n / total[b][:, None]
-            log = np.matmul(qb, _theta(pi, mu, cov, d))
-            top = log.max(2)
-            dens = top + np.log(np.exp(log - top[..., None]).sum(2))
-            parts = 1 + d + d * (d + 1) / 2
-            bic = -2 * (wb * np.where(wb > 0, dens, 0)).sum(1) + (k * parts - 1) * np.log(np.maximum(total[b], 2))
+            log, dens = _fit(q[b], w[b], dims[b], x[b[:, None], first[b]])
+            parts = 1 + dims[b] + dims[b] * (dims[b] + 1) / 2
+            bic = -2 * (w[b] * np.where(w[b] > 0, dens, 0)).sum(1) + (k * parts - 1) * np.log(np.maximum(total[b], 2))
             better = bic < best[b]
             won = b[better]
             best[won], chosen[won] = bic[better], k
             comp[won], density[won] = log[better].argmax(2), dens[better]
-            going[b[~better]] = False
+            worse[won] = 0
+            worse[b[~better]] += 1
     return comp, density, chosen
 
 
-def _joined(near: np.ndarray) -> np.ndarray:
-    """Labels of the connected parts of a square neighbour matrix, numbered from their first members."""
-    label = np.full(len(near), -1)
-    for i in range(len(near)):
-        if label[i] < 0:
-            part = near[i].copy()
-            part[i] = True
-            fresh = part.copy()
-            while True:
-                more = near[fresh].any(0) & ~part
-                if not more.any():
-                    break
-                part |= more
-                fresh = more
-            label[part] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def link_patches(u: np.ndarray, comp: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(site of every cell of a run, pairs of cells in different sites that the cells leave undecided).
-
-    A patch is the part of a component in a coarse cell; all its poses are neighbours.
+def _near(centre: np.ndarray, radius: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, angle) of pairs a < b of caps that come within ``limit`` of each other, some at a time."""
+    edge = 2 * np.sin(min(np.pi, limit + 2 * radius.max()) / 2) + 1e-9
+    box = np.floor((centre + 1) / edge).astype(np.int64) + 1
+    width = box.max() + 2
+    key = (box[:, 0] * width + box[:, 1]) * width + box[:, 2]
+    order = np.argsort(key, kind="stable")
+    found, begin = np.unique(key[order], return_index=True)
+    size = np.diff(np.append(begin, len(key)))
+    for step in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]:
+        to = found + (step[0] * width + step[1]) * width + step[2]
+        there = np.minimum(np.searchsorted(found, to), len(found) - 1)
+        mine = np.flatnonzero(found[there] == to)
+        n = size[mine] * size[there[mine]]
+        for part in np.split(mine, np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum(), PAIRS))):
+            k = size[part] * size[there[part]]
+            row, at = np.repeat(part, k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            a, b = order[begin[row] + at // size[there[row]]], order[begin[there[row]] + at % size[there[row]]]
+            a, b = a[a < b], b[a < b]
+            angle = np.arccos(np.clip((centre[a] * centre[b]).sum(1), -1, 1))
+            close = angle - radius[a] - radius[b] <= limit
+            yield a[close], b[close], angle[close]
+
+
+def link_clusters(u: np.ndarray, comp: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(cluster, site of every cell of a run, pairs of cells in different sites that the cells leave undecided).
+
+    Clusters are the components, or the connected parts of those that fall apart; sites are clusters joined at
+    their borders. A patch is the part of a component in a coarse cell; all its poses are neighbours.
     """
     # The most that a pose and its cell's mean direction are apart, in radians; a cell of one pose is that pose.
     slack = np.where(weight > 1, np.sqrt(3) / CELLS * 1.02, 1e-7)
     limit = np.radians(LINK_DEGREES)
-    patch_of = np.unique(np.column_stack([comp, np.floor((u + 1) * PATCHES)]), axis=0, return_inverse=True)[1].ravel()
-    m = patch_of.max() + 1
-    if m == 1:
-        return np.zeros(len(u), np.int64), []
+    patches, patch_of = np.unique(np.column_stack([comp, np.floor((u + 1) * PATCHES)]), axis=0, return_inverse=True)
+    patch_of, m = patch_of.ravel(), len(patches)
     centre = np.stack([np.bincount(patch_of, u[:, i], m) for i in range(3)], 1)
     centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
     radius = np.zeros(m)
     np.maximum.at(radius, patch_of, np.arccos(np.clip((u * centre[patch_of]).sum(1), -1, 1)) + slack)
-    apart = np.arccos(np.clip(centre @ centre.T, -1, 1))
-    reach = radius[:, None] + radius[None, :]
-    near = apart + reach <= limit
-    site = _joined(near)
-    doubt = []
-    open_a, open_b = np.nonzero(np.triu((apart - reach <= limit) & ~near & (site[:, None] != site[None, :])))
-    if len(open_a):
-        order = np.argsort(patch_of, kind="stable")
-        begin = np.searchsorted(patch_of[order], np.arange(m + 1))
-        for a, b in zip(open_a, open_b):
-            if site[a] == site[b]:
-                continue
-            ca, cb = order[begin[a] : begin[a + 1]], order[begin[b] : begin[b + 1]]
-            d = np.arccos(np.clip(u[ca] @ u[cb].T, -1, 1))
-            both = slack[ca][:, None] + slack[cb][None, :]
-            if (d + both <= limit).any():
-                site[site == site[b]] = site[a]
-            elif (d - both <= limit).any():
-                i, j = np.nonzero(d - both <= limit)
-                doubt += list(zip(ca[i], cb[j]))
-    doubt = [(a, b) for a, b in doubt if site[patch_of[a]] != site[patch_of[b]]]
-    return np.unique(site, return_inverse=True)[1][patch_of], doubt
-
-
-LABELS = "run_id string, cell int, cluster_id int, n bigint, component int, n_components int, density double, site int, doubt_cell int"
+    found = [np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *_near(centre, radius, limit))] if m > 1 else [np.zeros(0, np.int64)] * 3
+    a, b, angle = found
+    sure = angle + radius[a] + radius[b] <= limit
+    within = patches[a, 0] == patches[b, 0]
+    order = np.argsort(patch_of, kind="stable")
+    begin = np.searchsorted(patch_of[order], np.arange(m + 1))
+
+    def decided(part: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """``part`` joined where cells of the pairs ``some`` of patches decide it, and the pairs of cells that don't."""
+        doubt = []
+        for i, j in zip(a[some], b[some]):
+            if part[i] != part[j]:
+                ca, cb = order[begin[i] : begin[i + 1]], order[begin[j] : begin[j + 1]]
+                d = np.arccos(np.clip(u[ca] @ u[cb].T, -1, 1))
+                both = slack[ca][:, None] + slack[cb][None, :]
+                if (d + both <= limit).any():
+                    part[part == part[j]] = part[i]
+                elif (d - both <= limit).any():
+                    x, y = np.nonzero(d - both <= limit)
+                    doubt += list(zip(ca[x], cb[y]))
+        return part, doubt
+
+    # Each component for itself, then the borders between the clusters.
+    cluster, doubt = decided(joined(m, a[sure & within], b[sure & within]), ~sure & within)
+    across = sure & ~within
+    cluster = np.unique(cluster, return_inverse=True)[1]
+    merged = joined(cluster.max() + 1, cluster[a[across]], cluster[b[across]])[cluster]
+    site, more = decided(merged, ~sure & ~within)
+    doubt = [(x, y) for x, y in doubt + more if site[patch_of[x]] != site[patch_of[y]]]
+    return cluster[patch_of], np.unique(site, return_inverse=True)[1][patch_of], doubt
+
+
+LABELS = "run_id string, cell int, cluster_id int, n bigint, component int, n_components int, density double, cluster int, site int, doubt_cell int"
 
 
 def _label_runs(rows: pd.DataFrame) -> pd.DataFrame:
@@ -231,18 +264,17 @@ def _label_runs(rows: pd.DataFrame) -> pd.DataFrame:
             c, d, k = fit_mixtures(u[idx], np.where(real, weight[idx], 0.0))
             comp[idx[real]], density[idx[real]] = c[real], d[real]
             chosen[idx[real]] = np.repeat(k, size[part])
-    site = np.zeros(len(first), np.int64)
+    cluster, site = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     doubts = []
     cells = rows["cell"].to_numpy()[first]
     for b, n in zip(begin, size):
-        s, doubt = link_patches(u[b : b + n], comp[b : b + n], weight[b : b + n])
-        site[b : b + n] = s
+        cluster[b : b + n], site[b : b + n], doubt = link_clusters(u[b : b + n], comp[b : b + n], weight[b : b + n])
         doubts += [(run[first[b]], cells[b + i], cells[b + j]) for i, j in doubt]
-    out = rows[["run_id", "cell", "cluster_id", "n"]].assign(component=comp[cell_of], n_components=chosen[cell_of], density=density[cell_of], site=site[cell_of], doubt_cell=None)
+    out = rows[["run_id", "cell", "cluster_id", "n"]].assign(component=comp[cell_of], n_components=chosen[cell_of], density=density[cell_of], cluster=cluster[cell_of], site=site[cell_of], doubt_cell=None)
     if doubts:
         extra = pd.DataFrame(doubts, columns=["run_id", "cell", "doubt_cell"]).assign(n=0)
         out = pd.concat([out, extra], ignore_index=True)
-    for c in ("cluster_id", "component", "n_components", "site", "doubt_cell"):
+    for c in ("cluster_id", "component", "n_components", "cluster", "site", "doubt_cell"):
         out[c] = out[c].astype("Int32")
     return out
 
@@ -285,28 +317,18 @@ def label_cells(poses: DataFrame) -> DataFrame:
 def _decide(labels: DataFrame, doubt: DataFrame, poses: DataFrame) -> DataFrame:
     """Joins sites whose doubtful cells hold poses at most LINK_DEGREES apart."""
     site_of = labels.select("run_id", "cell", "site").distinct()
-    a = poses.select("run_id", "cell", *(F.col(c).alias(f"a{c}") for c in ("ux", "uy", "uz"))).distinct()
-    b = poses.select("run_id", F.col("cell").alias("doubt_cell"), *(F.col(c).alias(f"b{c}") for c in ("ux", "uy", "uz"))).distinct()
-    dot = sum(F.col(f"a{c}") * F.col(f"b{c}") for c in ("ux", "uy", "uz"))
-    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= float(np.radians(LINK_DEGREES))
-    linked = doubt.select("run_id", "cell", "doubt_cell").join(a, ["run_id", "cell"]).join(b, ["run_id", "doubt_cell"]).where(near).select("run_id", "cell", "doubt_cell").distinct()
+    points = poses.select(F.col("run_id").alias("scope"), "cell", "ux", "uy", "uz")
+    pairs = doubt.select(F.col("run_id").alias("scope"), F.col("cell").alias("cell_a"), F.col("doubt_cell").alias("cell_b")).distinct()
+    linked = linked_cells(points, pairs, float(np.radians(LINK_DEGREES)), 1 / CELLS).select(F.col("scope").alias("run_id"), F.col("cell_a").alias("cell"), F.col("cell_b").alias("doubt_cell")).distinct()
     pairs = (
         linked.join(site_of, ["run_id", "cell"]).join(site_of.select("run_id", F.col("cell").alias("doubt_cell"), F.col("site").alias("other")), ["run_id", "doubt_cell"])
         .select("run_id", "site", "other").distinct()
     )
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        root = {s: s for s in {*g["site"], *g["other"]}}
-
-        def find(s: int) -> int:
-            while root[s] != s:
-                s = root[s]
-            return s
-
-        for x, y in zip(g["site"], g["other"]):
-            x, y = find(x), find(y)
-            root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"run_id": g["run_id"].iloc[0], "site": list(root), "merged": [find(s) for s in root]})
+        sites = np.unique(g[["site", "other"]].to_numpy())
+        part = joined(len(sites), np.searchsorted(sites, g["site"]), np.searchsorted(sites, g["other"]))
+        return pd.DataFrame({"run_id": g["run_id"].iloc[0], "site": sites, "merged": sites[np.unique(part, return_index=True)[1]][part]})
 
     merged = pairs.groupBy("run_id").applyInPandas(merge, "run_id string, site int, merged int")  # a run's sites, not its poses
     return labels.join(merged, ["run_id", "site"], "left").withColumn("site", F.coalesce("merged", "site")).drop("merged")
