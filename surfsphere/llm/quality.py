@@ -87,7 +87,7 @@ TOKEN, SPLIT = re.compile(r"[^\W\d_]+|[0-9]+|[-,;:/|\t—–=+*&@#%$~<>{}()\[\]\
 BARS = re.compile(r"[|\t;]| - | / |: ")
 # Upper edges of the bins (a value on an edge belongs to the lower bin), and characters cut off lines.
 DIGIT_EDGES, LETTER_EDGES, WORD_EDGES = (0, 0.1, 0.22, 0.6), (0.1, 0.4, 0.75, 0.93), (2.2, 3.2, 7.5, 13)
-ODDS_EDGES, UNKNOWN_EDGES, TRIPLE_EDGES, FRAME_EDGES = (-1.5, -0.4, 0.6, 1.6), (0, 0.3, 0.65), (0.1, 0.35, 0.55, 0.75), (0.85, 1.5, 2.4, 5)
+ODDS_EDGES, UNKNOWN_EDGES, TRIPLE_EDGES, FRAME_EDGES = (-1.5, -0.4, 0.6, 1.6), (0, 0.3, 0.65), (0.1, 0.35, 0.55, 0.75), (-0.05, 0.15, 0.3, 0.58)
 DASHES = "-–—"
 SIGNS, MARKS, EDGE = "-–— .", "-–—♪♫ .?", " \t\u3000\ufeff?"
 SENTENCE_END, BULLETS = set(".?!…。？！»”\"'"), set("•*-–—|+~=#>/·")
@@ -412,7 +412,11 @@ class Model:
             of, mean = share(at[judged], common[judged])
             out[:, PLACE["triples"]] = np.where((of > 0) & (words > 3) & (c.plain[:, 5] > 0), 1 + np.searchsorted(TRIPLE_EDGES, mean), 0)
             rate = self.rates(c)
-            out[:, PLACE["frames"]] = np.where(rate > 0, 1 + np.searchsorted(FRAME_EDGES, rate / self.usual), 0)
+            # 0 is the usual rate and 1 that of what is in every line, on a logarithmic scale.
+            height = 1 - np.log(np.maximum(rate, 1e-9)) / np.log(min(self.usual, 0.9))
+            out[:, PLACE["frames"]] = np.where(rate > 0, 1 + np.searchsorted(FRAME_EDGES, height), 0)
+            # A list repeats its own triples, too: in a frame that comes back often they say nothing.
+            out[out[:, PLACE["frames"]] > 3, PLACE["triples"]] = 0
         plain = (c.kind & 4)[word] > 0
         of, mean = share(line[plain], place[word[plain]] < 0)
         out[:, PLACE["unknown"]] = np.where(c.plain[:, 4] > 0, 1 + np.searchsorted(UNKNOWN_EDGES, mean), 0)
