@@ -43,6 +43,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mix of languages and sources: documents belong to their source and to their language, so sources overlap."""
+    docs = bpe.count_tokens(table(spark, d, "documents").select("doc_id", F.array_compact(F.array("source", F.lower(F.substring("lang", 1, 2)))).alias("sources"), "text"))
+    targets = table(spark, d, "source_targets")
+    by_source = targets.select("source", (F.col("target_share") / 2).alias("target_share"), "max_repeats")
+    langs = spark.createDataFrame([(x, 0.1, 3) for x in ("de", "fr", "es", "ru", "ja")], by_source.schema)
+    return mixing.mix_sources(docs, by_source.unionByName(langs))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_speech(table(spark, d, "documents"))
 
@@ -51,7 +60,7 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sites, p4_found, p4_ranked, p7_ids, p8_mix, p8_shares, p9_found, p9_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sites, p4_found, p4_ranked, p7_ids, p8_mix, p8_shares, p8_overlap, p9_found, p9_quality)}
 
 _P4 = """
 SELECT run_id, cluster_id, pose_id, vina_score, CAST(rank AS INT) AS rank FROM (
