@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     add("--ppi-near-surface-eps", type=float, default=1.5)
     add("--map", default="mollweide", choices=["equirect", "mollweide", "hammer"])
     add("--pose-projection", default="nearest", choices=["nearest", "raycast"])
-    add("--metric", default="vertex", choices=["vertex", "triangle"], help="closest corner or closest point of the surface")
+    add("--metric", default="vertex", choices=["vertex", "triangle"], help="poses go to the closest corner or to the closest point of the surface")
     add("--peptide-center", default="com", choices=["com", "cog"])
     add("--seam-rotate", default="auto", help="auto or degrees")
     add("--cluster-distance", type=float, default=15.0, help="degrees")
@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
         scalar = None if a.mesh_vertex_scalar == "none" else "value"
         name = a.mesh_scalar_name or {"density": "density", "curv_proxy": "curv"}.get(a.mesh_vertex_scalar, "scalar")
         vertices, faces = m.mesh_tables()
-        path = a.mesh_path or f"{prefix}_surface.{a.mesh_format}"
+        path = a.mesh_path or f"{prefix}_quicksurf.{a.mesh_format}"
         writers.write_mesh(vertices, faces, path, a.mesh_format, scalar=scalar, scalar_name=name)
         log.info("Wrote %s (%d faces)", path, faces.agg(F.count(F.lit(1))).first()[0])
     return 0

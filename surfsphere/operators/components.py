@@ -12,7 +12,6 @@ labels spread over the links in rounds.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import angle_between, unit
 from ..session import durable
+from .runs import in_runs
 
 #: Cells along a patch's edge, parts along a cell's edge each time it's halved, and how often that's done: the last parts
 #: are some 1e-9 of a cell, and what they leave open counts as beyond the threshold.
 FINE, PARTS, LEVELS = 6, 8, 10
-#: Most patches of a scope that a task joins, and rows held at once.
-PATCHES, HELD = 20_000, 100_000
+#: Most patches of a scope that a task joins.
+PATCHES = 20_000
 
 
 def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,34 +115,6 @@ def _near_patches(patches: DataFrame) -> DataFrame:
     return shifted.join(patches.select("scope", F.col("patch").alias("other")), ["scope", "other"])
 
 
-def _in_scopes(rows: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Applies ``kernel`` to the rows of one scope after the other; tasks hold HELD rows and a scope at most."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(table: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo, hi in zip(start[:-1], start[1:]):
-                yield from kernel(table.slice(lo, hi - lo)).to_batches()
-
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(h.num_rows for h in held) >= HELD:
-                table = pa.Table.from_batches(held)
-                start = _starts(table)
-                yield from whole(table, start[:-1])  # the last scope may go on
-                held = table.slice(start[-2]).to_batches()
-        if held and (table := pa.Table.from_batches(held)).num_rows:
-            yield from whole(table, _starts(table))
-
-    return rows.repartition("scope").sortWithinPartitions("scope").mapInArrow(read, schema)
-
-
-def _starts(table: pa.Table) -> np.ndarray:
-    """First rows of the scopes, and the end."""
-    code = table["scope"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    return np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code))
-
-
 def _first_parts(cells: DataFrame, threshold: float, slack: float) -> DataFrame:
     """Patches joined by one point of each of their cells: (scope, patch, part), and with ``other`` the cells that may still join two parts.
 
@@ -193,7 +165,7 @@ def _first_parts(cells: DataFrame, threshold: float, slack: float) -> DataFrame:
         return pa.table({"scope": take("scope", one), "patch": take("patch", one), "cell": take("cell", one), "part": pa.array(part[patch[first]], pa.int32()), "other": take("patch", second), "other_cell": take("cell", second)})
 
     rows = cells.select("scope", "patch", "cell", *(F.col(f"patch.{c}").alias(f"p{c}") for c in "xyz"), *(F.col(f"r.u{c}").alias(f"u{c}") for c in "xyz"))
-    return _in_scopes(rows, kernel, f"scope {kind['scope']}, patch {kind['patch']}, cell {kind['cell']}, part int, other {kind['patch']}, other_cell {kind['cell']}")
+    return in_runs(rows, ["scope"], kernel, f"scope {kind['scope']}, patch {kind['patch']}, cell {kind['cell']}, part int, other {kind['patch']}, other_cell {kind['cell']}")
 
 
 def _joined_parts(links: DataFrame) -> DataFrame:
@@ -206,7 +178,7 @@ def _joined_parts(links: DataFrame) -> DataFrame:
         lowest = part[np.unique(label, return_index=True)[1]]
         return pa.table({"scope": pa.repeat(table["scope"][0], len(part)), "part": pa.array(part), "root": pa.array(lowest[label])})
 
-    return _in_scopes(links, kernel, f"scope {dict(links.dtypes)['scope']}, part int, root int")
+    return in_runs(links, ["scope"], kernel, f"scope {dict(links.dtypes)['scope']}, part int, root int")
 
 
 def _labelled(points: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runs import in_runs
+
 PI = math.pi
 
 
@@ -90,68 +94,52 @@ def blur_kernel(n: int, sigma: float) -> list[float]:
     return [sum(math.exp(-k * k / (2 * sigma * sigma)) * math.cos(2 * PI * k * d / n) for k in ks) / n for d in range(n)]
 
 
-def kernel_table(spark: SparkSession, n: int, sigma: float, name: str) -> DataFrame:
-    """(d, name): n rows."""
-    return spark.createDataFrame([(d, g) for d, g in enumerate(blur_kernel(n, sigma))], f"d int, {name} double")
+def _turning(n: int, sigma: float) -> np.ndarray:
+    """The blur as a matrix: its product with a column of n cells is the blurred column."""
+    return np.array(blur_kernel(n, sigma))[(np.arange(n)[:, None] - np.arange(n)[None, :]) % n]
+
+
+def _dense(cells: pa.Table, down: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """A grid's cells as a matrix, blurred both ways."""
+    h = np.zeros((len(down), len(along)))
+    np.add.at(h, (cells["iy"].to_numpy(), cells["ix"].to_numpy()), cells["value"].to_numpy())
+    return down @ h @ along.T
 
 
 def blur(grid: DataFrame, scope: Sequence[str], sigma: float, rows: int = 180, cols: int = 360) -> DataFrame:
-    """Periodic Gaussian blur of sparse grids: along the columns of filled cells, then along the rows.
+    """Periodic Gaussian blur of sparse grids, along the rows and columns, as matrix products.
 
-    Both kernels are tables of ``rows`` and ``cols`` rows. sigma <= 0 leaves the grids as they are. Every
-    cell of a scope with a filled cell has a row.
+    A scope is one grid of rows x cols cells at most. sigma <= 0 leaves the grids as they are. Every cell of a
+    scope with a filled cell has a row.
     """
     if sigma <= 0:
         return grid
-    spark = grid.sparkSession
-    ky, kx = F.broadcast(kernel_table(spark, rows, sigma, "gy")), F.broadcast(kernel_table(spark, cols, sigma, "gx"))
-    down = grid.crossJoin(ky).withColumn("iy", ((F.col("iy") + F.col("d")) % rows).cast("int"))  # a fixed fan-out
-    down = down.groupBy(*scope, "iy", "ix").agg(F.sum(F.col("value") * F.col("gy")).alias("value"))
-    along = down.crossJoin(kx).withColumn("ix", ((F.col("ix") + F.col("d")) % cols).cast("int"))
-    return along.groupBy(*scope, "iy", "ix").agg(F.sum(F.col("value") * F.col("gx")).alias("value"))
-
-
-def _dense(g, turn, n: int):
-    """A group's cells as a matrix, blurred both ways."""
-    import numpy as np
-
-    h = np.zeros((n, n))
-    np.add.at(h, (g["iy"].to_numpy(), g["ix"].to_numpy()), g["value"].to_numpy())
-    return turn @ h @ turn.T
-
+    down, along, types = _turning(rows, sigma), _turning(cols, sigma), dict(grid.dtypes)
+    iy, ix = (pa.array(i.ravel().astype(np.int32)) for i in np.indices((rows, cols)))
 
-def _turning(n: int, sigma: float):
-    import numpy as np
+    def one(cells: pa.Table) -> pa.Table:
+        keys = {c: pa.repeat(cells[c][0], rows * cols) for c in scope}
+        return pa.table({**keys, "iy": iy, "ix": ix, "value": pa.array(_dense(cells, down, along).ravel())})
 
-    return np.array(blur_kernel(n, sigma))[(np.arange(n)[:, None] - np.arange(n)[None, :]) % n]
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), "iy int, ix int, value double"])
+    keys = list(scope) or ["_all"]  # without a scope there's one grid
+    return in_runs(grid if scope else grid.withColumn("_all", F.lit(0)), keys, one, schema)
 
 
 def blur_dense(grid: DataFrame, scope: Sequence[str], sigma: float, n: int) -> DataFrame:
-    """As ``blur``, for very many small square grids: each group is one grid of n x n cells at most, blurred as a matrix."""
-    import numpy as np
-    import pandas as pd
-
-    turn, types = _turning(n, sigma), dict(grid.dtypes)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        iy, ix = np.indices((n, n))
-        return pd.DataFrame({**{c: g[c].iloc[0] for c in scope}, "iy": iy.ravel(), "ix": ix.ravel(), "value": _dense(g, turn, n).ravel()})
-
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), "iy int, ix int, value double"])
-    return grid.groupBy(*scope).applyInPandas(one, schema)
+    """``blur`` of square grids of n x n cells."""
+    return blur(grid, scope, sigma, n, n)
 
 
 def blurred_levels(grid: DataFrame, scope: Sequence[str], sigma: float, n: int) -> DataFrame:
-    """``contour_levels(blur_dense(...))`` with one row a group leaving the task, not n x n."""
-    import pandas as pd
-
+    """``contour_levels(blur(...))`` of n x n grids, with one row a group leaving the task, not n x n."""
     turn, types = _turning(n, sigma), dict(grid.dtypes)
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in scope}, "peak": [float(_dense(g, turn, n).max())]})
+    def one(cells: pa.Table) -> pa.Table:
+        return pa.table({**{c: cells[c][:1] for c in scope}, "peak": pa.array([float(_dense(cells, turn, turn).max())])})
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), "peak double"])
-    return grid.groupBy(*scope).applyInPandas(one, schema).where("peak > 0").withColumn("level", F.greatest(0.25 * F.col("peak"), F.lit(1e-9)))
+    return in_runs(grid, scope, one, schema).where("peak > 0").withColumn("level", F.greatest(0.25 * F.col("peak"), F.lit(1e-9)))
 
 
 def padded(c: str) -> tuple[Column, Column]:

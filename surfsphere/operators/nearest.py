@@ -18,6 +18,8 @@ from ..session import durable
 
 #: Edges of the boxes of the two tiers, in the unit of the coordinates.
 TIERS = (64.0, 8.0)
+#: Coarse boxes that are sent to all tasks; more of them are joined by a shuffle, in which AQE splits large scopes.
+SENT = 200_000
 
 Stages = Sequence[dict[str, str]]
 
@@ -96,8 +98,10 @@ def _boxed(targets: DataFrame) -> DataFrame:
 
 def _tiers(targets: DataFrame) -> list[DataFrame]:
     span = [f(f"{m}{a}").alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]
-    fine = targets.groupBy("scope", "box0", "box1").agg(*span)
-    return [fine.groupBy("scope", "box0").agg(*span), fine]
+    fine = durable(targets.groupBy("scope", "box0", "box1").agg(*span))
+    coarse = durable(fine.groupBy("scope", "box0").agg(*span))
+    # A scope of very many points would be one task if the points were shuffled by it.
+    return [F.broadcast(coarse) if coarse.count() <= SENT else coarse, fine]
 
 
 def nearest(points: DataFrame, targets: DataFrame, metric: Stages = TRIANGLE) -> DataFrame:
@@ -150,6 +154,7 @@ def first_hits(points: DataFrame, triangles: DataFrame) -> DataFrame:
 
 def raycast(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """The first hit where there is one, else the closest surface point."""
+    points, triangles = durable(points), durable(triangles)  # read twice
     hit = durable(first_hits(points, triangles))
     rest = points.join(hit.select("scope", "pid"), ["scope", "pid"], "left_anti")
     return hit.unionByName(nearest(rest, triangles))

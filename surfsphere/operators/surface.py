@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chem import radius
+from .runs import in_runs
 
 #: Reach of an atom's density in standard deviations, by quality; any other word counts as low.
 REACH = {"max": 3.0, "med": 2.5, "low": 2.0}
@@ -121,7 +123,8 @@ def _blocks_kernel(spacing: float, reach: float, iso: float):
     """Density and iso-surface of one block as dense arrays; a block has its cubes' corners, one more a side."""
     corner = np.array(CORNERS)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        g = rows.to_pandas()
         head = g.iloc[0]
         base = [int(head[f"b{a}"]) * BLOCK for a in "xyz"]
         size = [min(BLOCK, int(head[f"n{a}"]) - 1 - b) + 1 for a, b in zip("xyz", base)]
@@ -164,7 +167,7 @@ def _blocks_kernel(spacing: float, reach: float, iso: float):
         out = pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, 14)), columns=names)
         out = out.astype({"ix": "int64", "iy": "int64", "iz": "int64", "tet": "int32", "tri": "int32"})
         out.insert(0, "scope", head["scope"])
-        return out
+        return pa.Table.from_pandas(out, schema=pa.schema([("scope", pa.string()), *((n, pa.int64()) for n in names[:3]), ("tet", pa.int32()), ("tri", pa.int32()), *((n, pa.float64()) for n in names[5:])]), preserve_index=False)
 
     return run
 
@@ -190,4 +193,4 @@ def block_triangles(atoms: DataFrame, spacing: float = 1.0, radius_scale: float
         first, last = F.floor(F.greatest(lo - 1, F.lit(0)) / BLOCK), F.floor(F.least(hi, n - 2) / BLOCK)
         a = a.withColumn(f"b{c}", F.explode(F.sequence(first, last)))
     schema = "scope string, ix bigint, iy bigint, iz bigint, tet int, tri int, " + ", ".join(f"{c}{x} double" for c in "abc" for x in "xyz")
-    return a.groupBy("scope", "bx", "by", "bz").applyInPandas(_blocks_kernel(spacing, reach, iso), schema)
+    return in_runs(a.drop("element"), ["scope", "bx", "by", "bz"], _blocks_kernel(spacing, reach, iso), schema)

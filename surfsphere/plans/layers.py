@@ -65,10 +65,9 @@ def centroid_layer(stats: DataFrame, scope: Sequence[str]) -> DataFrame:
     return stats.withColumn("best", best).withColumn("outline", outline(F.col("p_value"), F.col("score_avg"), F.col("best"))).withColumn("text", text)
 
 
-def palette(cluster_ids: Sequence[int]) -> dict[int, float]:
-    """Position of each cluster on a diverging colour map: from 1 for the first to 0 for the last."""
-    ids = sorted(set(cluster_ids))
-    return {c: 1.0 if len(ids) == 1 else 1.0 - i / (len(ids) - 1) for i, c in enumerate(ids)}
+def palette(rank: Column, last: Column) -> Column:
+    """Position of the cluster of a rank on a diverging colour map: from 1 for the first to 0 for the last one."""
+    return F.when(last == 1, 1.0).otherwise(1.0 - F.try_divide(rank - 1, last - 1))
 
 
 def graticule(spark: SparkSession, name: str) -> DataFrame:

@@ -9,15 +9,19 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import angles
 from ..functions.chem import ligand_label
 from ..operators import clusters, grids, mesh, nearest, residues, surface
+from ..operators.prefix import running_sum
 from ..session import durable
 from ..sources import pdb, writers
 from . import layers
 
 log = logging.getLogger(__name__)
+#: Filled bands and intervals between the lines of the background.
+BANDS, LINES = 40, 12
 
 
 @dataclass(frozen=True)
@@ -51,6 +55,12 @@ class MapOptions:
     pose_density_sigma: float = 2.0
     background: str = "none"
     background_smooth: int = 0
+    background_colorbar: bool = False
+    background_colorbar_location: str = "right"
+    background_colorbar_mode: str = "norm"
+    background_colorbar_label: str | None = None
+    background_colorbar_vmin: float | None = None
+    background_colorbar_vmax: float | None = None
     pose_label: str = "none"
     pose_label_top: int = 5
     mesh_vertex_scalar: str = "none"
@@ -60,6 +70,7 @@ class MapOptions:
         choices = {
             "surface_quality": ("max", "med", "low"), "ppi_residue_point": ("ca", "res_com", "sc_com"), "map": angles.MAPS, "pose_projection": ("nearest", "raycast"), "metric": ("vertex", "triangle"), "peptide_center": ("com", "cog"),
             "weight": ("none", "exp", "linear"), "background": ("none", "curvature", "radial"), "pose_label": ("none", "first", "best", "topN"), "cluster_contour": ("none", "outline", "filled"), "mesh_vertex_scalar": ("none", "density", "curv_proxy"),
+            "background_colorbar_mode": ("norm", "raw"), "background_colorbar_location": ("right", "bottom"),
         }
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:
@@ -78,8 +89,10 @@ class MissingResidues(ValueError):
     """Interface residues that the structure doesn't have; ``report`` tells which."""
 
     def __init__(self, report: dict):
-        super().__init__(f"{report['missing_count']} interface residues are missing, first: {', '.join(report['missing_examples'])}")
-        self.report = report
+        lost = sorted(set(report.get("interface_chains") or ()) - set(report.get("chains") or ()))
+        chains = f"; chains that the structure doesn't have: {', '.join(lost)}" if lost else ""
+        super().__init__(f"{report['missing_count']} interface residues are missing, first: {', '.join(report['missing_examples'])}{chains}")
+        self.report = report | {"missing_chains": lost}
 
 
 class SurfaceMap:
@@ -181,27 +194,27 @@ class SurfaceMap:
 
     @cached_property
     def projected(self) -> DataFrame:
-        """scope, kind, id, distance, theta, phi of all points, not yet rotated."""
-        pts = self._points
+        """kind, id, distance, theta, phi of all points, not yet rotated.
+
+        Poses go to the surface's closest corner, or with the triangle metric to its closest point, as all other points do.
+        """
+        pts, pose = self._points, F.col("pid").startswith("pose:")
+        poses, rest = pts.where(pose), pts.where(~pose)
+        hits = None
         if self.o.pose_projection == "raycast":
-            pose = F.col("pid").startswith("pose:")
-            hits = nearest.first_hits(pts.where(pose), self.triangles)
-            missed = pts.where(pose).join(hits.select("scope", "pid"), ["scope", "pid"], "left_anti")
-            hit = hits.unionByName(self._nearest(pts.where(~pose).unionByName(missed)))
+            hits = durable(nearest.first_hits(poses, self.triangles))
+            poses = poses.join(hits.select("scope", "pid"), ["scope", "pid"], "left_anti")
+        if self.o.metric == "triangle":
+            hit = nearest.nearest(poses.unionByName(rest), self.triangles)
         else:
-            hit = self._nearest(pts)
+            corner = self.corners.select("scope", (F.col("tid") * 4 + F.col("k")).alias("tid"), *(F.col(a).alias(f"a{a}") for a in "xyz"))
+            hit = nearest.nearest(poses, corner, nearest.VERTEX).unionByName(nearest.nearest(rest, self.triangles))
+        hit = hit if hits is None else hits.unionByName(hit)
         theta, phi = angles.spherical(*(F.col(f"q{a}") - F.col(f"o{a}") for a in "xyz"))
         kind = F.substring_index("pid", ":", 1)
         out = hit.join(self.centre, "scope").withColumns({"theta": theta, "phi": phi, "kind": kind})
         return durable(out.select("kind", F.expr("substring(pid, length(kind) + 2)").alias("id"), "distance", "theta", "phi"))
 
-    def _nearest(self, points: DataFrame) -> DataFrame:
-        """The closest corner of the surface, or the closest point of its triangles."""
-        if self.o.metric == "triangle":
-            return nearest.nearest(points, self.triangles)
-        corner = self.corners.select("scope", (F.col("tid") * 4 + F.col("k")).alias("tid"), *(F.col(a).alias(f"a{a}") for a in "xyz"))
-        return nearest.nearest(points, corner, nearest.VERTEX)
-
     @cached_property
     def rotation(self) -> float:
         """Seam rotation in radians."""
@@ -296,9 +309,8 @@ class SurfaceMap:
         grid = found.withColumns(at).select("cluster_id", F.lit("contour").alias("kind"), "iy", "ix", "value", "x", "y", "level", fill.alias("fill_to"))
         points = p.where("n_poses = 1").select("cluster_id", F.lit("point").alias("kind"), "x", "y")
         last = self.clusters.agg(F.max("cluster_id").alias("last"))
-        place = F.when(F.col("last") == 1, 1.0).otherwise(1.0 - F.try_divide(F.col("cluster_id") - 1, F.col("last") - 1))  # as layers.palette
         out = grid.unionByName(points, allowMissingColumns=True).crossJoin(F.broadcast(last))  # one row
-        return out.withColumns({"position": place, "color": F.lit(self.o.cluster_contour_color).cast("string")}).drop("last")
+        return out.withColumns({"position": layers.palette(F.col("cluster_id"), F.col("last")), "color": F.lit(self.o.cluster_contour_color).cast("string")}).drop("last")
 
     def interface_contour(self) -> DataFrame:
         """kind, iy, ix, value, x, y: the blurred count of the interface's atoms at projected cell centres; less than 20 atoms stay points."""
@@ -320,6 +332,8 @@ class SurfaceMap:
             out["ppi_contour"] = self.interface_contour()
         if self.o.background != "none":
             out["background"] = self.background()
+            if self.o.background_colorbar:
+                out["background_bar"] = self.background_bar()
         return out
 
     def _centred(self, g: DataFrame) -> DataFrame:
@@ -329,35 +343,63 @@ class SurfaceMap:
         return g.withColumns({"x": x, "y": y})
 
     def background(self, compat: bool = False) -> DataFrame:
-        """iy, ix, value, x, y: the mean scalar of the surface by map cell, stretched to 0..1.
+        """iy, ix, value, x, y, band: the mean scalar of the surface by map cell, stretched to 0..1 unless it's to be raw.
 
-        ``compat`` adds the copies a turn away, which pile up in the first and last column.
+        ``band`` is the cell's of BANDS equal ones between the bar's ends, -1 below and BANDS above them. ``compat``
+        adds the copies a turn away, which pile up in the first and last column.
         """
+        lo, hi = F.col("vmin"), F.col("vmax")
+        band = F.when(F.col("value") < lo, -1).when(F.col("value") > hi, BANDS).otherwise(F.least(F.lit(BANDS - 1), F.floor((F.col("value") - lo) / (hi - lo) * BANDS)))
+        g = self._background(compat).crossJoin(F.broadcast(self._ends(compat)))  # one row
+        return self._centred(g.withColumn("band", band.cast("int")).drop("vmin", "vmax"))
+
+    def _background(self, compat: bool) -> DataFrame:
         c = self.corners.join(self.centre, "scope")
         theta, phi = angles.spherical(*(F.col(a) - F.col(f"o{a}") for a in "xyz"))
         value: Column = angles.distance(*((F.col(a), F.col(f"o{a}")) for a in "xyz")) if self.o.background == "radial" else F.col("curvature")
         c = c.withColumns({"lon": angles.rotate(theta, self.rotation), "lat": math.pi / 2 - phi, "value": value})
         c = self._smoothed(c.select("scope", "tid", "k", "lon", "lat", "value"), self.o.background_smooth)
-        c = mesh.min_max(c, "value", ["scope"])
+        raw = self.o.background_colorbar_mode == "raw"
+        c = c if raw else mesh.min_max(c, "value", ["scope"])
         c = grids.tripled(c) if compat else c
-        return self._centred(grids.scaled(grids.mean_grid(c, [], F.col("lat"), F.col("lon"), F.col("value")), []))
+        g = grids.mean_grid(c, [], F.col("lat"), F.col("lon"), F.col("value"))
+        return g if raw else grids.scaled(g, [])
+
+    def _ends(self, compat: bool = False) -> DataFrame:
+        """vmin, vmax: the bar's ends, one row. A raw bar's are those given, else the filled cells'; if they leave no room, vmax is a hair above."""
+        o = self.o
+        if o.background_colorbar_mode == "norm":
+            return self.spark.range(1).select(F.lit(0.0).alias("vmin"), F.lit(1.0).alias("vmax"))
+        lo = F.min("value") if o.background_colorbar_vmin is None else F.lit(float(o.background_colorbar_vmin))
+        hi = F.max("value") if o.background_colorbar_vmax is None else F.lit(float(o.background_colorbar_vmax))
+        ends = self._background(compat).agg(lo.alias("vmin"), hi.alias("vmax"))
+        return ends.withColumn("vmax", F.when(F.col("vmax") <= F.col("vmin"), F.col("vmin") + 1e-12).otherwise(F.col("vmax")))
+
+    def background_bar(self) -> DataFrame:
+        """label, location, vmin, vmax, bands, lines: the colour bar, one row; the ends of the filled bands and the levels of the lines."""
+        o = self.o
+        name = {"curvature": "Curvature (proxy)", "radial": "Radial distance"}.get(o.background, "Background scalar")
+        label = o.background_colorbar_label or (f"{name} (normalized)" if o.background_colorbar_mode == "norm" else name)
+        steps = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.col("vmin") + i * (F.col("vmax") - F.col("vmin")) / n)
+        return self._ends().select(F.lit(label).alias("label"), F.lit(o.background_colorbar_location).alias("location"), "vmin", "vmax", steps(BANDS).alias("bands"), steps(LINES).alias("lines"))
 
     @staticmethod
     def _smoothed(c: DataFrame, rounds: int) -> DataFrame:
         """Neighbour means over corners that share no vertex: after each round a corner has the mean of the two others."""
         if rounds <= 0:
             return c
-        from pyspark.sql.window import Window
-
         whole = Window.partitionBy("scope", "tid")
         mean, share = F.avg("value").over(whole), (-0.5) ** rounds  # the part that differs from the mean is halved and turned each round
         return c.withColumn("value", mean + share * (F.col("value") - mean))
 
     def mesh_tables(self) -> tuple[DataFrame, DataFrame]:
         """(vertices, faces) numbered without gaps, for the mesh files."""
-        ordered = self.triangles.rdd.map(lambda r: (r["tid"], r)).sortByKey().values().zipWithIndex()  # a dense global number needs the order
-        fields = ["fid bigint", *(f"{c}{a} double" for c in "abc" for a in "xyz")]
-        numbered = ordered.map(lambda p: (p[1], *(p[0][f"{c}{a}"] for c in "abc" for a in "xyz"))).toDF(", ".join(fields)).cache()
+        # Faces are numbered in the order of their cubes: those of the cubes before, then those of the own cube.
+        whole = durable(self.triangles.withColumn("cube", F.floor(F.col("tid") / 12)))
+        cubes = whole.groupBy("scope", "cube").agg(F.count(F.lit(1)).alias("faces"))
+        upto = running_sum(cubes, ["scope"], "cube", "faces", "upto", part=1 << 24).select("scope", "cube", (F.col("upto") - F.col("faces")).alias("before"))
+        own = F.row_number().over(Window.partitionBy("scope", "cube").orderBy("tid")) - 1
+        numbered = durable(whole.withColumn("own", own).join(upto, ["scope", "cube"]).select((F.col("before") + F.col("own")).alias("fid"), *(f"{c}{a}" for c in "abc" for a in "xyz")))
         faces = numbered.select("fid", *((F.col("fid") * 3 + i).alias(c) for i, c in enumerate("abc")))
         parts = [F.struct((F.col("fid") * 3 + i).alias("vid"), *(F.col(f"{c}{a}").alias(a) for a in "xyz"), F.lit(i).alias("k"), F.col("fid").alias("fid")) for i, c in enumerate("abc")]
         vertices = numbered.select(F.explode(F.array(*parts)).alias("v")).select("v.vid", "v.x", "v.y", "v.z")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +17,12 @@ FORMATS = ("obj", "ply", "stl")
 
 
 def fixed(spec: str):
-    """An Arrow UDF that prints doubles as C's printf does (the JVM rounds decimal ties otherwise)."""
+    """An Arrow UDF that prints doubles as C's printf does (the JVM rounds decimal ties otherwise); null gives nan."""
+    line = f"%{spec}\n"
 
     @F.pandas_udf(T.StringType())
     def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else format(float(v), spec))
+        return pd.Series((line * len(values) % tuple(values)).split("\n")[:-1], index=values.index, dtype=object)  # a batch at a time
 
     return text
 
@@ -33,9 +34,24 @@ def csv_cells(df: DataFrame) -> DataFrame:
     return df.withColumns(cells) if cells else df
 
 
-def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One ordered CSV file with a header; for result tables."""
-    csv_cells(df.orderBy(*order)).coalesce(1).write.mode("overwrite").csv(path, header=True)
+def vertex_line(fmt: str, scalar: str | None = None) -> Column:
+    """A vertex (x, y, z and the scalar column) as a line of an OBJ or PLY file."""
+    six = fixed(".6f")
+    xyz = F.concat_ws(" ", *(six(F.col(c)) for c in ("x", "y", "z", *([scalar] if scalar else []))))
+    return F.concat(F.lit("v "), xyz) if fmt == "obj" else xyz
+
+
+def face_line(fmt: str) -> Column:
+    """A face (a, b, c from 0) as a line of an OBJ file, which counts from 1, or of a PLY file."""
+    return F.concat_ws(" ", F.lit("f" if fmt == "obj" else "3"), *((F.col(c) + int(fmt == "obj")).cast("bigint").cast("string") for c in "abc"))
+
+
+def facet_lines() -> Column:
+    """A triangle ax .. cz as the lines of a facet of an STL file."""
+    exp = fixed(".6e")
+    parts = [F.concat(F.lit("  facet normal "), F.concat_ws(" ", *(exp(n) for n in normal()))), F.lit("    outer loop")]
+    parts += [F.concat(F.lit("      vertex "), F.concat_ws(" ", *(exp(F.col(f"{c}{k}")) for k in "xyz"))) for c in "abc"]
+    return F.array(*parts, F.lit("    endloop"), F.lit("  endfacet"))
 
 
 def mesh_lines(vertices: DataFrame, faces: DataFrame, fmt: str, scalar: str | None = None, scalar_name: str = "scalar", title: str = "surface mesh") -> DataFrame:
@@ -53,7 +69,6 @@ def mesh_lines(vertices: DataFrame, faces: DataFrame, fmt: str, scalar: str | No
     if not n_vertices or not n_faces:
         raise ValueError("Mesh is empty; cannot export.")
     spark = vertices.sparkSession
-    six, exp = fixed(".6f"), fixed(".6e")
 
     def rows(lines: list[str], section: int) -> DataFrame:
         return spark.createDataFrame([(section, i, 0, s) for i, s in enumerate(lines)], "section int, id bigint, part int, line string")
@@ -61,26 +76,19 @@ def mesh_lines(vertices: DataFrame, faces: DataFrame, fmt: str, scalar: str | No
     def body(df: DataFrame, key: str, section: int, line: Column) -> DataFrame:
         return df.select(F.lit(section).alias("section"), F.col(key).cast("bigint").alias("id"), F.lit(0).alias("part"), line.alias("line"))
 
-    xyz = F.concat_ws(" ", *(six(F.col(c)) for c in "xyz"))
     if fmt == "obj":
-        face = F.concat_ws(" ", F.lit("f"), *((F.col(c) + 1).cast("string") for c in "abc"))
-        return rows([f"# {title}"], 0).unionByName(body(vertices, "vid", 1, F.concat(F.lit("v "), xyz))).unionByName(body(faces, "fid", 2, face))
+        return rows([f"# {title}"], 0).unionByName(body(vertices, "vid", 1, vertex_line(fmt))).unionByName(body(faces, "fid", 2, face_line(fmt)))
     if fmt == "ply":
         head = ["ply", "format ascii 1.0", f"comment {title}", f"element vertex {n_vertices}", *(f"property float {c}" for c in "xyz")]
         head += [f"property float {scalar_name}"] if scalar else []
         head += [f"element face {n_faces}", "property list uchar int vertex_indices", "end_header"]
-        vertex = F.concat_ws(" ", xyz, six(F.col(scalar))) if scalar else xyz
-        face = F.concat_ws(" ", F.lit("3"), *(F.col(c).cast("string") for c in "abc"))
-        return rows(head, 0).unionByName(body(vertices, "vid", 1, vertex)).unionByName(body(faces, "fid", 2, face))
+        return rows(head, 0).unionByName(body(vertices, "vid", 1, vertex_line(fmt, scalar))).unionByName(body(faces, "fid", 2, face_line(fmt)))
     name = title.replace(" ", "_")
     t = faces
     for c in "abc":
         corner = vertices.select(F.col("vid").alias(c), *(F.col(k).alias(f"{c}{k}") for k in "xyz"))
         t = t.join(corner, c)
-    parts = [F.concat(F.lit("  facet normal "), F.concat_ws(" ", *(exp(n) for n in normal()))), F.lit("    outer loop")]
-    parts += [F.concat(F.lit("      vertex "), F.concat_ws(" ", *(exp(F.col(f"{c}{k}")) for k in "xyz"))) for c in "abc"]
-    parts += [F.lit("    endloop"), F.lit("  endfacet")]
-    facets = t.select(F.lit(1).alias("section"), F.col("fid").cast("bigint").alias("id"), F.posexplode(F.array(*parts)).alias("part", "line"))
+    facets = t.select(F.lit(1).alias("section"), F.col("fid").cast("bigint").alias("id"), F.posexplode(facet_lines()).alias("part", "line"))
     return rows([f"solid {name}"], 0).unionByName(facets).unionByName(rows([f"endsolid {name}"], 2))
 
 
@@ -97,13 +105,10 @@ def mesh_key(**parameters: object) -> str:
 def cached_triangles(spark: SparkSession, folder: str, build, **parameters: object) -> DataFrame:
     """Triangles read from ``folder`` if made with the same parameters before, else built and written there."""
     path = f"{folder}/{mesh_key(**parameters)}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        build().write.mode("overwrite").parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def text_iterator(df: DataFrame) -> Iterator[str]:
-    """Lines of an ordered text result, streamed partition by partition."""
-    for r in df.toLocalIterator():
-        yield r["line"]

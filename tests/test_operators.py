@@ -1,14 +1,17 @@
 """Reference operators against brute force and known values."""
 
 import math
+import random
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from surfsphere import cli
 from surfsphere.functions import angles
 from surfsphere.functions.stats import incomplete_beta, t_two_sided, welch_moments
-from surfsphere.operators import clusters, components, grids, mesh, nearest, residues, surface
+from surfsphere.operators import clusters, components, grids, mesh, nearest, residues, runs, surface
 from surfsphere.plans import layers, reference_queries
 from surfsphere.plans.pipeline import MapOptions, MissingResidues, SurfaceMap
 from surfsphere.sources import pdb, writers
@@ -45,6 +48,65 @@ def test_components_against_brute_force(spark):
     assert components.components(df.limit(0), 0.2).count() == 0
 
 
+def labels_of(u, limit):
+    near = np.arccos(np.clip(u @ u.T, -1, 1)) <= limit
+    label = np.arange(len(u))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(u))])
+        if (new == label).all():
+            return dict(enumerate(label.tolist()))
+        label = new
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_at_the_limit(spark, monkeypatch, few):
+    """Dense edges a hair under and over the limit apart, with a task a scope and in rounds."""
+    if not few:
+        monkeypatch.setattr(components, "PATCHES", 0)
+    rnd = np.random.default_rng(9)
+    rows, want = [], {}
+    limit = math.radians(15)
+    for scope, gap in (("over", 15.0003), ("under", 14.9997), ("far", 40.0)):
+        lon = np.radians(np.concatenate([[0.0], -rnd.uniform(0.0001, 3, 300), [gap], gap + rnd.uniform(0.0001, 3, 300)]))
+        lat = np.radians(np.concatenate([[0.0], rnd.uniform(-2, 2, 300), [0.0], rnd.uniform(-2, 2, 300)]))
+        u = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+        want[scope] = labels_of(u, limit)
+        rows += [(scope, i, float(a), float(math.pi / 2 - b)) for i, (a, b) in enumerate(zip(lon, lat))]
+    df = spark.createDataFrame(rows + rows[:9], "scope string, pid bigint, theta double, phi double").withColumn("patch", F.lit(1))
+    got = {}
+    for r in components.components(df, limit).collect():
+        got.setdefault(r["scope"], {})[r["pid"]] = r["first_pid"]
+    assert got == want and len(set(got["over"].values())) == 2 and len(set(got["under"].values())) == 1
+
+
+def test_parts_are_joined_by_their_links():
+    rnd = np.random.default_rng(2)
+    a, b = rnd.integers(0, 500, 350), rnd.integers(0, 500, 350)
+    label = list(range(500))
+    for x, y in zip(a.tolist(), b.tolist()):
+        old, new = label[y], label[x]
+        label = [new if v == old else v for v in label]
+    got = components.joined(500, a, b)
+    assert len(set(zip(got.tolist(), label))) == len(set(label)) == len(set(got.tolist()))
+    assert components.joined(3, np.zeros(0, int), np.zeros(0, int)).tolist() == [0, 1, 2]
+
+
+def test_runs_come_whole(spark, monkeypatch):
+    """Groups that go on over batches, with null keys and several keys."""
+    monkeypatch.setattr(runs, "HELD", 50)
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "b", "c", None]), rnd.randrange(5), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k int, v bigint")
+
+    def one(t):
+        return pa.table({"g": t["g"][:1], "k": t["k"][:1], "n": pa.array([t.num_rows]), "total": pa.array([sum(t["v"].to_pylist())])})
+
+    got = [tuple(r) for r in runs.in_runs(df, ["g", "k"], one, "g string, k int, n bigint, total bigint").collect()]
+    want = [tuple(r) for r in df.groupBy("g", "k").agg(F.count("v"), F.sum("v")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert runs.in_runs(df.limit(0), ["g"], one, "g string, k int, n bigint, total bigint").count() == 0
+
+
 def test_sites_have_all_located_poses(spark, tmp_path):
     def row(i, score, degrees, cluster):
         return ("r", i, f"p{i}", score, None if degrees is None else math.radians(degrees), math.pi / 2, 1.0, cluster)
@@ -234,12 +296,19 @@ def test_small_map_end_to_end(spark, tmp_path):
     assert got["pose0001"] == got["pose0002"] == 1 and len(set(got.values())) == 3
     assert m.contour_points().count() == 6 and m.residue_points().count() == 2 and m.traces().count() == 2
     assert m.pose_density().count() == 180 * 360 and m.background().count() > 100
+    assert m.background().where("value < 0 OR value > 1 OR band < 0 OR band > 39").isEmpty() and m.background_bar().first()["label"] == "Radial distance (normalized)"
+    raw = SurfaceMap(spark, replace(o, background_colorbar_mode="raw", background_colorbar_vmax=8.5))
+    bar = raw.background_bar().first()
+    least = raw.background().agg(F.min("value"), F.max("value")).first()
+    assert bar["label"] == "Radial distance" and bar["vmin"] == pytest.approx(least[0]) and bar["vmax"] == 8.5 and len(bar["bands"]) == 41 and len(bar["lines"]) == 13
+    assert raw.background().where("value > 8.5 AND band <> 40 OR value <= 8.5 AND (band < 0 OR band > 39)").isEmpty()
     vertices, faces = m.mesh_tables()
+    assert [r["fid"] for r in faces.orderBy("fid").collect()] == list(range(m.triangles.count()))
     assert vertices.count() == 3 * faces.count() and vertices.agg(F.max("value")).first()[0] == pytest.approx(1.0)
     for path in m.write(str(tmp_path / "out")):
         assert spark.read.csv(path, header=True).count() > 0
     (tmp_path / "q.txt").write_text("Chain  Q  ALA    2\n")
-    with pytest.raises(MissingResidues):
+    with pytest.raises(MissingResidues, match="structure doesn't have: Q"):
         SurfaceMap(spark, MapOptions(o.protein, o.peptides, o.scores, str(tmp_path / "q.txt"))).validate()
     with pytest.raises(ValueError):
         MapOptions("a", "b", "c", "d", map="globe")
