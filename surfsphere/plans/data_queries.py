@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from ..session import table
 from ..sources import strict
 
 
+#: Cosines and sines of the corners of p3_regions.
+_CORNERS = [[f(0.1 + 2 * math.pi * i / 5) for i in range(5)] for f in (math.cos, math.sin)]
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return eager_join.miscounted_clusters(table(spark, d, "poses_mapped"), table(spark, d, "clusters"))
 
@@ -31,6 +37,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return regions.contacts(table(spark, d, "atoms"), table(spark, d, "mesh_vertices"))
 
 
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms in regions with five corners around the vertices, some of them turned inwards: structure_id, atom_idx, vid."""
+    a = table(spark, d, "atoms").select(F.col("structure_id").alias("scope"), F.col("atom_idx").alias("point_id"), "x", "y", "z")
+    v = table(spark, d, "mesh_vertices")
+    far = [1.0 + F.pmod(F.col("vid") * 7 + 3 * i, F.lit(3)) for i in range(5)]
+    ring = {c: F.array(*(F.col(f"v{c}") + r * float(t) for r, t in zip(far, turn))) for c, turn in zip("xy", _CORNERS)}
+    r = v.select(
+        F.col("structure_id").alias("scope"), F.col("vid").alias("region_id"), ring["x"].alias("ring_x"), ring["y"].alias("ring_y"), (F.col("vz") - 1.0).alias("z_lo"), (F.col("vz") + 1.0).alias("z_hi"),
+        F.array(*(F.lit(float("nan")) for _ in range(3))).alias("centre"),
+    )
+    met = regions.region_join(a, r, edge=16.0)
+    return met.select(F.col("scope").alias("structure_id"), F.col("point_id").alias("atom_idx"), F.col("region_id").alias("vid"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return strict.bad_lines(table(spark, d, "pdb_lines"), table(spark, d, "score_lines"))
 
@@ -54,7 +74,20 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("ref_table", "ref_month").agg(F.count(F.lit(1)).alias("n_orphans"), F.countDistinct("structure_id").alias("n_structures"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_join_rollup, p3_found, p5_found, p5_atoms, p5_scores, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_join_rollup, p3_found, p3_regions, p5_found, p5_atoms, p5_scores, p6_found, p6_report)}
+
+def _regions_sql() -> str:
+    """A point is in a region if a line from it crosses the border an odd number of times."""
+    corner = [[f"(v.v{c} + (1 + (v.vid * 7 + {3 * i}) % 3) * {_CORNERS[k][i]!r})" for i in range(5)] for k, c in enumerate("xy")]
+    sides = []
+    for i in range(5):
+        x1, y1, x2, y2 = corner[0][i], corner[1][i], corner[0][(i + 1) % 5], corner[1][(i + 1) % 5]
+        sides.append(f"CASE WHEN ({y1} > a.y) <> ({y2} > a.y) AND a.x < ({x2} - {x1}) * (a.y - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END")
+    return f"""SELECT DISTINCT a.structure_id, a.atom_idx, v.vid FROM (SELECT DISTINCT structure_id, atom_idx, x, y, z FROM atoms) a
+JOIN (SELECT DISTINCT structure_id, vid, vx, vy, vz FROM mesh_vertices) v
+  ON a.structure_id = v.structure_id AND a.z BETWEEN v.vz - 1 AND v.vz + 1 AND a.x BETWEEN v.vx - 3 AND v.vx + 3 AND a.y BETWEEN v.vy - 3 AND v.vy + 3
+WHERE ({' + '.join(sides)}) % 2 = 1"""
+
 
 _P1_BOTH = """
 SELECT coalesce(s.run_id, c.run_id) AS run_id, coalesce(s.cluster_id, c.cluster_id) AS cluster_id,
@@ -102,6 +135,7 @@ SQL = {
 SELECT p.run_id, count(*) AS join_rows, CAST(sum(CASE WHEN p.proj_distance IS NOT NULL THEN 1 END) AS BIGINT) AS measured,
        CAST(sum(p.pose_idx) AS BIGINT) AS pose_numbers, CAST(sum(c.n_poses) AS BIGINT) AS stated_poses
 FROM poses_mapped p JOIN clusters c ON p.run_id = c.run_id AND p.cluster_id = c.cluster_id GROUP BY 1""",
+    "p3_regions": _regions_sql(),
     "p3_found": """
 WITH a AS (SELECT DISTINCT structure_id, atom_idx, x, y, z, CAST(floor(x / 1.5e0) AS INT) AS cx, CAST(floor(y / 1.5e0) AS INT) AS cy, CAST(floor(z / 1.5e0) AS INT) AS cz
            FROM atoms WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),

@@ -97,6 +97,41 @@ def csv_format(spark, d):
     return writers.csv_cells(views.poses(spark, d).select("scope", "pose_id", "proj_distance", "score"))
 
 
+def _face_sql(head: str, add: int) -> str:
+    return f"SELECT scope, 2 AS section, CAST(fid AS BIGINT) AS id, '{head}' || ' ' || " + " || ' ' || ".join(f"CAST(({c} + {add}) AS BIGINT)" for c in "abc") + " AS line FROM f"
+
+
+def _mesh_lines(spark: SparkSession, d: str, fmt: str, scalar: str | None) -> DataFrame:
+    v = views.vertices(spark, d).select("scope", F.lit(1).alias("section"), F.col("vid").alias("id"), writers.vertex_line(fmt, scalar).alias("line"))
+    return v.unionByName(views.strip_faces(spark, d).select("scope", F.lit(2).alias("section"), F.col("fid").alias("id"), writers.face_line(fmt).alias("line")))
+
+
+@query(with_views("vf", f"SELECT scope, 1 AS section, vid AS id, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM v UNION ALL {_face_sql('f', 1)}"))
+def mesh_obj(spark, d):
+    """The lines of the vertices and faces of every structure's mesh as OBJ files have them."""
+    return _mesh_lines(spark, d, "obj", None)
+
+
+@query(with_views("vf", f"SELECT scope, 1 AS section, vid AS id, printf('%.6f %.6f %.6f %.6f', x, y, z, z) AS line FROM v UNION ALL {_face_sql('3', 0)}"))
+def mesh_ply(spark, d):
+    """The same as PLY files have them, with the height as the vertices' scalar."""
+    return _mesh_lines(spark, d, "ply", "z")
+
+
+_NORMAL_VIEWS = {
+    "cr": "SELECT *, (by - ay) * (cz - az) - (bz - az) * (cy - ay) AS n0, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS n1, (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) AS n2 FROM t",
+    "nl": "SELECT *, sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS l FROM cr",
+}
+_N = ", ".join(f"CASE WHEN l < 1e-12 THEN 0.0e0 ELSE n{i} / l END" for i in range(3))
+_FACET = [f"printf('  facet normal %.6e %.6e %.6e', {_N})", "'    outer loop'", *(f"printf('      vertex %.6e %.6e %.6e', {c}x, {c}y, {c}z)" for c in "abc"), "'    endloop'", "'  endfacet'"]
+
+
+@query(with_views("t", " UNION ALL ".join(f"SELECT scope, tid, {i} AS part, {e} AS line FROM nl" for i, e in enumerate(_FACET)), _NORMAL_VIEWS))
+def mesh_stl(spark, d):
+    """The lines of the facets of every structure's triangles as STL files have them."""
+    return views.triangles(spark, d).select("scope", "tid", F.posexplode(writers.facet_lines()).alias("part", "line"))
+
+
 @query(f"SELECT DISTINCT structure_id, atom_idx, name, {views.GUESS} AS guess FROM atoms WHERE name IS NOT NULL")
 def guess_element(spark, d):
     a = table(spark, d, "atoms").where("name IS NOT NULL")
@@ -385,9 +420,25 @@ def angular_pairs(spark, d):
     return out(pairs.select(F.col("scope").alias("run_id"), F.col("pid").alias("cluster_id"), "other", "angle"), "run_id", "cluster_id", "other", angle=F.col("angle"))
 
 
-@query()
+_LIMIT = f"{math.radians(15.0)!r}e0"
+_PATCH = f"{2 * math.sin(math.radians(7.5)) / math.sqrt(3) * (1 - 1e-9)!r}e0"
+#: Poses of a patch are neighbours, so patches with neighbours among their poses are the graph's nodes; the twin compares all pairs of poses.
+_SITES = {
+    "lo": """SELECT DISTINCT run_id AS scope, pose_idx, pose_id, CASE WHEN isfinite(vina_score) THEN vina_score END AS score, theta, phi FROM poses_mapped
+  WHERE run_id IS NOT NULL AND pose_idx IS NOT NULL AND isfinite(theta) AND isfinite(phi)""",
+    "un": "SELECT *, sin(phi) * cos(theta) AS ux, sin(phi) * sin(theta) AS uy, cos(phi) AS uz FROM lo",
+    "pt": f"SELECT *, concat_ws(' ', CAST(floor(ux / {_PATCH}) AS BIGINT), CAST(floor(uy / {_PATCH}) AS BIGINT), CAST(floor(uz / {_PATCH}) AS BIGINT)) AS patch FROM un",
+    "lk": f"SELECT DISTINCT a.scope, a.patch AS x, b.patch AS y FROM pt a JOIN pt b ON a.scope = b.scope AND a.patch <> b.patch AND acos(greatest(-1.0e0, least(1.0e0, a.ux * b.ux + a.uy * b.uy + a.uz * b.uz))) <= {_LIMIT}",
+    "nd": "SELECT scope, patch, min(pose_idx) AS head FROM pt GROUP BY 1, 2",
+    "re": "SELECT scope, patch AS x, patch AS y FROM nd UNION SELECT re.scope, re.x, lk.y FROM re JOIN lk ON lk.scope = re.scope AND lk.x = re.y",
+    "fi": "SELECT re.scope, re.x AS patch, min(nd.head) AS head FROM re JOIN nd ON nd.scope = re.scope AND nd.patch = re.y GROUP BY 1, 2",
+    "lb": "SELECT pt.*, CAST(dense_rank() OVER (PARTITION BY pt.scope ORDER BY fi.head) - 1 AS INT) AS label FROM pt JOIN fi ON fi.scope = pt.scope AND fi.patch = pt.patch",
+}
+
+
+@query(with_views("", "SELECT scope, pose_id, label AS raw_label FROM lb", _SITES, recursive=True))
 def sphere_clusters(spark, d):
-    """Each pose's component of the 15 degree graph of its run, numbered by first members; brute force in the tests."""
+    """Each pose's component of the 15 degree graph of its run, numbered by first members."""
     p = views.located(spark, d)
     return layers.labelled(p, math.radians(15.0)).select("scope", "pose_id", "raw_label")
 
@@ -428,9 +479,32 @@ def welch_pvalue(spark, d):
     return out(s, "scope", F.col("rank").alias("cluster_id"), t=F.col("t"), dof=F.col("dof"))
 
 
-@query()
+def _test_views(ranked: str) -> dict[str, str]:
+    """Welch's test of ``ranked`` (scope, rank, n, mean, var) against the row of lowest mean: view pv (scope, rank, p_value).
+
+    The incomplete beta function comes from its power series, whose terms are all positive.
+    """
+    den = "(CASE WHEN n1 > 1 THEN v1 * v1 / (n1 * n1 * (n1 - 1.0e0)) ELSE 0.0e0 END + CASE WHEN n2 > 1 THEN v2 * v2 / (n2 * n2 * (n2 - 1.0e0)) ELSE 0.0e0 END)"
+    return {
+        "we": f"""SELECT k.scope, k.rank, k.n AS n2, k.mean AS m2, coalesce(k.var, 0.0e0) AS v2, r.n AS n1, r.mean AS m1, coalesce(r.var, 0.0e0) AS v1
+  FROM {ranked} k JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY mean NULLS LAST, rank) AS best FROM {ranked}) b WHERE best = 1) r ON r.scope = k.scope""",
+        "se": f"SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN v1 / n1 + v2 / n2 END AS se2, {den} AS den FROM we",
+        "td": "SELECT *, abs(m1 - m2) / sqrt(se2) AS t, se2 * se2 / den AS dof FROM se WHERE se2 > 0 AND den > 0",
+        "xa": "SELECT scope, rank, dof / (dof + t * t) AS x, dof / 2 AS a, 0.5e0 AS b FROM td",
+        "sw": "SELECT scope, rank, x >= (a + 1) / (a + b + 2) AS turn, CASE WHEN x >= (a + 1) / (a + b + 2) THEN 1 - x ELSE x END AS x, CASE WHEN x >= (a + 1) / (a + b + 2) THEN b ELSE a END AS a, CASE WHEN x >= (a + 1) / (a + b + 2) THEN a ELSE b END AS b FROM xa",
+        "sr": "SELECT scope, rank, x, a, b, 0 AS n, 1.0e0 AS term, 1.0e0 AS total FROM sw UNION ALL SELECT scope, rank, x, a, b, n + 1, term * x * (a + b + n) / (a + 1 + n), total + term * x * (a + b + n) / (a + 1 + n) FROM sr WHERE term > 1e-17 * total AND n < 100000",
+        "su": "SELECT scope, rank, max(total) AS total FROM sr GROUP BY 1, 2",
+        "ib": "SELECT scope, rank, turn, CASE WHEN x <= 0 THEN 0.0e0 ELSE exp(a * ln(x) + b * ln(1 - x) - (lgamma(a) + lgamma(b) - lgamma(a + b))) * total / a END AS v FROM sw JOIN su USING (scope, rank)",
+        "pv": "SELECT se.scope, se.rank, CASE WHEN se2 = 0 THEN CASE WHEN m1 = m2 THEN 1.0e0 ELSE 0.0e0 END WHEN turn THEN 1 - v ELSE v END AS p_value FROM se LEFT JOIN ib USING (scope, rank)",
+    }
+
+
+_TESTED = {**_VIEWS, "rn": "SELECT scope, rank, n_poses AS n, mean, var FROM rk", **_test_views("rn")}
+
+
+@query(with_views("p", f"SELECT scope, CAST(rank AS INT) AS cluster_id, {r6('p_value')} AS p_value FROM pv", _TESTED, recursive=True))
 def cluster_pvalues(spark, d):
-    """The p-values of Welch's test themselves; tested against known values."""
+    """The p-values of Welch's test themselves; also tested against known values."""
     s = clusters.summary(views.poses(spark, d).withColumnRenamed("cluster_id", "label"), S, "label")
     return out(s, "scope", "cluster_id", p_value=F.col("p_value"))
 
@@ -596,9 +670,18 @@ def cluster_kde_hist(spark, d):
     return _kde(spark, d)
 
 
-@query()
+_LEVELS = {
+    **_KDE_VIEWS,
+    "gn": f"SELECT * FROM {_gains(90, 2.6)} k",
+    "dw": f"SELECT {_CL}, (iy + d) % 90 AS iy, ix, sum(value * g) AS value FROM h, gn GROUP BY ALL",
+    "bl": f"SELECT {_CL}, iy, (ix + d) % 90 AS ix, sum(value * g) AS value FROM dw, gn GROUP BY ALL",
+    "pk": f"SELECT {_CL}, max(value) AS peak FROM bl GROUP BY ALL",
+}
+
+
+@query(with_views("p", f"SELECT {_CL}, {r6('peak')} AS peak, {r6('greatest(0.25e0 * peak, 1e-9)')} AS level FROM pk WHERE peak > 0", _LEVELS))
 def cluster_kde_level(spark, d):
-    """Peak and contour level of every cluster's blurred histogram; brute force in the tests."""
+    """Peak and contour level of every cluster's blurred histogram."""
     return out(grids.blurred_levels(_kde(spark, d), ["scope", "cluster_id"], 2.6, 90), "scope", "cluster_id", peak=F.col("peak"), level=F.col("level"))
 
 
@@ -687,9 +770,27 @@ def smooth_scalar(spark, d):
     return out(mesh.smooth(v, views.strip_faces(spark, d), 2), "scope", "vid", value=F.col("value"))
 
 
-@query()
+_SUMMED = {
+    **_SITES,
+    "st": """SELECT scope, label, count(*) AS n_poses, count(score) AS n, arg_min(pose_id, (score, pose_idx)) FILTER (WHERE score IS NOT NULL) AS best_pose_id, min(score) AS lo_score, max(score) AS hi_score, avg(score) AS mean, stddev_pop(score) AS sd, var_samp(score) AS var,
+  avg(ux) AS mx, avg(uy) AS my, avg(uz) AS mz FROM lb GROUP BY 1, 2""",
+    "rk": "SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n_poses DESC, lo_score NULLS LAST, label) AS rank FROM st",
+    **_test_views("rk"),
+}
+
+
+@query(
+    with_views(
+        "",
+        f"""SELECT rk.scope, CAST(rk.rank AS INT) AS cluster_id, n_poses, best_pose_id, lo_score AS best_vina_score, lo_score AS vina_score_min, hi_score AS vina_score_max, {r6('mean')} AS vina_score_avg, {r6('sd')} AS vina_score_stddev,
+  {r6('p_value')} AS p_value, {r6('atan2(my, mx)')} AS theta_centroid, {r6(f'acos(greatest(-1.0e0, least(1.0e0, mz / {_NORM})))')} AS phi_centroid FROM rk JOIN pv ON pv.scope = rk.scope AND pv.rank = rk.rank""",
+        _SUMMED,
+        recursive=True,
+    )
+)
 def site_summary(spark, d):
-    """The flagship: which sites do a run's poses form, and how good are they?"""
+    """The flagship: which sites do a run's poses form, and how good are they? Means and angles to six decimals."""
     p = layers.labelled(views.located(spark, d), math.radians(15.0))
     s = clusters.summary(p, S, "raw_label")
-    return s.drop("raw_label")
+    shown = {c: F.col(c) for c in ("vina_score_avg", "vina_score_stddev", "p_value", "theta_centroid", "phi_centroid")}
+    return out(s, "scope", "cluster_id", "n_poses", "best_pose_id", "best_vina_score", "vina_score_min", "vina_score_max", **shown)

@@ -100,10 +100,10 @@ def quoted(sql: str) -> str:
     return re.sub(r"\bby\b", '"by"', sql)
 
 
-def with_views(names: str, body: str, extra: dict[str, str] | None = None) -> str:
-    """WITH the named views (one letter each) and those they need, then ``extra`` ones, then the query."""
+def with_views(names: str, body: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
+    """WITH the named views (one letter each) and those they need, then ``extra`` ones, which may be recursive, then the query."""
     order: list[str] = []
     for n in names:
         order += [m for m in [*NEEDS.get(n, []), n] if m not in order]
     parts = [f"{n} AS ({SQL[n]})" for n in order] + [f"{n} AS ({s})" for n, s in (extra or {}).items()]
-    return quoted(f"WITH {', '.join(parts)} {body}")
+    return quoted(f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} {body}")
