@@ -9,6 +9,7 @@ text, so that the brute-force twins can state the same metric.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,24 +97,33 @@ def _boxed(targets: DataFrame) -> DataFrame:
     return targets
 
 
-def _tiers(targets: DataFrame) -> list[DataFrame]:
+class Boxes(NamedTuple):
+    """Targets with their boxes, and the boxes of both tiers, made once for all joins with them."""
+
+    targets: DataFrame
+    coarse: DataFrame
+    fine: DataFrame
+
+
+def boxes(targets: DataFrame) -> Boxes:
     span = [f(f"{m}{a}").alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]
-    fine = durable(targets.groupBy("scope", "box0", "box1").agg(*span))
+    boxed = durable(_boxed(targets))
+    fine = durable(boxed.groupBy("scope", "box0", "box1").agg(*span))
     coarse = durable(fine.groupBy("scope", "box0").agg(*span))
     # A scope of very many points would be one task if the points were shuffled by it.
-    return [F.broadcast(coarse) if coarse.count() <= SENT else coarse, fine]
+    return Boxes(boxed, F.broadcast(coarse) if coarse.count() <= SENT else coarse, fine)
 
 
-def nearest(points: DataFrame, targets: DataFrame, metric: Stages = TRIANGLE) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame | Boxes, metric: Stages = TRIANGLE) -> DataFrame:
     """scope, pid, tid, distance, qx, qy, qz: the closest target of each point's scope; ties go to the lowest tid.
 
     ``points``: scope, pid, px, py, pz. ``targets``: scope, tid and corners a (b, c). Points of a scope
     without targets have no row. Coordinates are not null.
     """
-    targets = _boxed(targets)
+    targets, coarse, fine = targets if isinstance(targets, Boxes) else boxes(targets)
     kept = points.select("scope", "pid", "px", "py", "pz")
     box = [f"{m}{a}" for a in "xyz" for m in ("lo", "hi")]
-    for on, tier in zip((["scope"], ["scope", "box0"]), _tiers(targets)):
+    for on, tier in zip((["scope"], ["scope", "box0"]), (coarse, fine)):
         near = sum((F.greatest(F.col(f"lo{a}") - F.col(f"p{a}"), F.lit(0.0), F.col(f"p{a}") - F.col(f"hi{a}")) ** 2 for a in "xyz"), F.lit(0.0))
         far = sum((F.greatest(F.abs(F.col(f"p{a}") - F.col(f"lo{a}")), F.abs(F.col(f"p{a}") - F.col(f"hi{a}"))) ** 2 for a in "xyz"), F.lit(0.0))
         met = kept.join(tier, on).withColumns({"near": near, "far": far})
@@ -124,17 +134,17 @@ def nearest(points: DataFrame, targets: DataFrame, metric: Stages = TRIANGLE) ->
     return won.select("scope", "pid", "m.tid", F.sqrt("m.d2").alias("distance"), "m.qx", "m.qy", "m.qz")
 
 
-def first_hits(points: DataFrame, triangles: DataFrame) -> DataFrame:
+def first_hits(points: DataFrame, triangles: DataFrame | Boxes) -> DataFrame:
     """scope, pid, tid, distance, qx, qy, qz of the first triangle hit by the ray from (ox, oy, oz) towards (px, py, pz).
 
     Rays without a hit, or whose point is the origin itself, have no row.
     """
-    triangles = _boxed(triangles)
+    triangles, coarse, fine = triangles if isinstance(triangles, Boxes) else boxes(triangles)
     length = F.sqrt(sum(((F.col(f"p{a}") - F.col(f"o{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
     rays = points.withColumn("length", length).where("length >= 1e-12")
     rays = rays.withColumns({f"g{a}": (F.col(f"p{a}") - F.col(f"o{a}")) / F.col("length") for a in "xyz"})
     box = [f"{m}{a}" for a in "xyz" for m in ("lo", "hi")]
-    for on, tier in zip((["scope"], ["scope", "box0"]), _tiers(triangles)):
+    for on, tier in zip((["scope"], ["scope", "box0"]), (coarse, fine)):
         enter, leave = [], []
         for a in "xyz":
             g, lo, hi = F.col(f"g{a}"), F.col(f"lo{a}") - F.col(f"o{a}") - 1e-6, F.col(f"hi{a}") - F.col(f"o{a}") + 1e-6
@@ -153,8 +163,8 @@ def first_hits(points: DataFrame, triangles: DataFrame) -> DataFrame:
 
 
 def raycast(points: DataFrame, triangles: DataFrame) -> DataFrame:
-    """The first hit where there is one, else the closest surface point."""
-    points, triangles = durable(points), durable(triangles)  # read twice
-    hit = durable(first_hits(points, triangles))
+    """The first hit where there is one, else the closest surface point; ``hit`` tells which."""
+    points, made = durable(points), boxes(triangles)  # used twice
+    hit = durable(first_hits(points, made))
     rest = points.join(hit.select("scope", "pid"), ["scope", "pid"], "left_anti")
-    return hit.unionByName(nearest(rest, triangles))
+    return hit.withColumn("hit", F.lit(True)).unionByName(nearest(rest, made).withColumn("hit", F.lit(False)))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import angles, chem
 from ..operators import clusters, components, grids, mesh, nearest, residues, surface
-from ..session import durable, table
+from ..session import table
 from ..sources import pdb, strict, writers
 from . import layers, views
 from .data_queries import SQL as DATA_SQL
@@ -360,10 +360,7 @@ UNION ALL SELECT scope, pid, sqrt(d2), FALSE FROM n WHERE NOT EXISTS (SELECT 1 F
 )
 def raycast(spark, d):
     points = _interface_points(spark, d).join(views.centres(spark, d), S)
-    hits = durable(nearest.first_hits(points, views.triangles(spark, d)))
-    rest = points.join(hits.select("scope", "pid"), ["scope", "pid"], "left_anti")
-    both = hits.withColumn("hit", F.lit(True)).unionByName(nearest.nearest(rest, views.triangles(spark, d)).withColumn("hit", F.lit(False)))
-    return out(both, "scope", "pid", "hit", distance=F.col("distance"))
+    return out(nearest.raycast(points, views.triangles(spark, d)), "scope", "pid", "hit", distance=F.col("distance"))
 
 
 def _atom_cloud(spark: SparkSession, d: str) -> DataFrame:
