@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import angles, chem
 from ..operators import clusters, components, grids, mesh, nearest, residues, surface
-from ..session import table
+from ..session import durable, table
 from ..sources import pdb, strict, writers
 from . import layers, views
 from .data_queries import SQL as DATA_SQL
@@ -381,7 +381,8 @@ def near_surface(spark, d):
 
 
 _UV = {"theta": _THETA, "phi": _PHI}
-_UVQ = ", ".join(f"{r6(e.replace('(x -', '(qx -').replace('(y -', '(qy -').replace('(z -', '(qz -').replace(', x -', ', qx -').replace('atan2(y', 'atan2(qy'))} AS {n}" for n, e in _UV.items())
+_UV_HIT = {n: e.replace("(x -", "(qx -").replace("(y -", "(qy -").replace("(z -", "(qz -").replace(", x -", ", qx -").replace("atan2(y", "atan2(qy") for n, e in _UV.items()}
+_UVQ = ", ".join(f"{r6(e)} AS {n}" for n, e in _UV_HIT.items())
 
 
 def _mapped(n: DataFrame, spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, Column]]:
@@ -591,6 +592,25 @@ def ppi_hist(spark, d):
     return grids.histogram(heavy, S, math.pi / 2 - phi, theta)
 
 
+#: Footprints of fewer points than that are drawn as points, not as a map.
+FEW = 20
+
+
+@query(
+    with_views(
+        "aiov",
+        _hist_sql("(SELECT * FROM fp WHERE scope IN (SELECT scope FROM fp GROUP BY 1 HAVING count(*) >= 20))", "lat", "lon", "CAST(count(*) AS DOUBLE)", "scope, "),
+        {"q": _CLOUD, "fp": f"SELECT n.scope, {_UV_HIT['theta']} AS lon, {_HALF} - ({_UV_HIT['phi']}) AS lat FROM ({_nearest_sql(_VT, nearest.VERTEX)}) n JOIN o ON n.scope = o.scope"},
+    )
+)
+def ppi_footprint_hist(spark, d):
+    """The interface atoms' places on the surface by map cell, for structures with at least FEW of them."""
+    n, uv = _mapped(_atom_cloud(spark, d), spark, d)
+    spots = durable(n.select("scope", *(c.alias(k) for k, c in uv.items())))
+    many = spots.groupBy("scope").count().where(F.col("count") >= FEW).select("scope")
+    return grids.histogram(spots.join(many, S), S, math.pi / 2 - F.col("phi"), F.col("theta"))
+
+
 _BG = f"SELECT scope, greatest(0, least(179, {_bin_sql('lat', *_LATB)})) AS iy, greatest(0, least(359, {_bin_sql('lon', *_LONB)})) AS ix, avg(radial) AS value FROM (SELECT v.scope, {_THETA} AS lon, {_HALF} - ({_PHI}) AS lat, {_R} AS radial FROM v JOIN o ON v.scope = o.scope) m GROUP BY 1, 2, 3"
 
 
@@ -630,6 +650,17 @@ def hexbin(spark, d):
     return grids.hexagons(_pose_map(spark, d), S, "lon", "lat")
 
 
+_HM = f"(SELECT scope, 2 * sqrt(2.0e0) * cos({_LAT}) * sin({_LON} / 2) / {_HZ} AS lon, sqrt(2.0e0) * sin({_LAT}) / {_HZ} AS lat FROM p)"
+_HEX2_HM = _HEX2.replace(_PW, _HM)
+
+
+@query(with_views("p", f"SELECT scope, CASE WHEN {_D1} < {_D2} THEN 1 ELSE 2 END AS lattice, CAST(CASE WHEN {_D1} < {_D2} THEN i1 ELSE i2 END AS INT) AS i, CAST(CASE WHEN {_D1} < {_D2} THEN j1 ELSE j2 END AS INT) AS j, count(*) AS n FROM ({_HEX2_HM}) k GROUP BY 1, 2, 3, 4"))
+def hexbin_hammer(spark, d):
+    """The same on the projected plane of the Hammer map."""
+    x, y = angles.project(angles.wrap_angle(F.col("theta")), F.col("phi"), "hammer")
+    return grids.hexagons(views.poses(spark, d).select("scope", x.alias("x"), y.alias("y")), S, "x", "y")
+
+
 _BLUR_SIGMA = 2.0
 
 
