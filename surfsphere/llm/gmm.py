@@ -94,8 +94,8 @@ class _Seeds:
         return np.stack(self.found[:k], 1)
 
 
-def _fit(q: np.ndarray, w: np.ndarray, dims: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM of mixtures that start at the means ``mu`` (B, K, 3), until they settle: (log densities (B, L, K), their sums (B, L))."""
+def _fit(q: np.ndarray, w: np.ndarray, dims: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM of mixtures that start at the means ``mu`` (B, K, 3), until they settle: (log densities (B, L, K), their sums (B, L), the sums' slopes (B, L, 3))."""
     k, total = mu.shape[1], w.sum(1)
     theta = _theta(np.full(mu.shape[:2], 1.0 / k), mu, np.broadcast_to(np.eye(3) / k ** (2 / 3), (len(mu), k, 3, 3)), dims)
     open_runs, reached = np.arange(len(mu)), np.full(len(mu), -np.inf)
@@ -122,11 +122,19 @@ def _fit(q: np.ndarray, w: np.ndarray, dims: np.ndarray, mu: np.ndarray) -> tupl
         theta[open_runs] = _theta(n / total[open_runs][:, None], mean3, cov + RIDGE * np.eye(3), dims[open_runs])
     log = np.matmul(q, theta)
     top = log.max(2)
-    return log, top + np.log(np.exp(log - top[..., None]).sum(2))
+    resp = np.exp(log - top[..., None])
+    whole = resp.sum(2)
+    form = np.matmul(resp / whole[..., None], theta.transpose(0, 2, 1))  # (B, L, 10): the forms, weighted by the components' shares
+    x = q[..., 1:4]
+    pair = form[..., 7:]  # of xy, xz and yz
+    slope = form[..., 1:4] + 2 * form[..., 4:7] * x + np.stack(
+        [pair[..., 0] * x[..., 1] + pair[..., 1] * x[..., 2], pair[..., 0] * x[..., 0] + pair[..., 2] * x[..., 2], pair[..., 1] * x[..., 0] + pair[..., 2] * x[..., 1]], -1
+    )
+    return log, top + np.log(whole), slope
 
 
-def fit_mixtures(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixtures of B runs of up to L cells each (weight 0: no cell): component and log density of every cell, components chosen.
+def fit_mixtures(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mixtures of B runs of up to L cells each (weight 0: no cell): component, log density and its slope at every cell, components chosen.
 
     ``u`` (B, L, 3) are mean directions, ``w`` (B, L) numbers of poses.
     """
@@ -143,6 +151,8 @@ def fit_mixtures(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     seeds = _Seeds(np.where(w[..., None] > 0, x, 0), w)
     best = np.full(len(u), np.inf)
     comp, density, chosen = np.zeros(w.shape, np.int64), np.zeros(w.shape), np.zeros(len(u), np.int64)
+    slope = np.zeros((*w.shape, 3))
+    back = (axes * kept[:, None, :]).transpose(0, 2, 1) / np.maximum(std, 1e-4)[:, None, :]  # from the principal axes to directions
     worse = np.zeros(len(u), np.int64)
     for k in LADDER:
         at = np.flatnonzero((worse < PATIENCE) & (cells >= max(1, 2 * k - 1)))
@@ -152,16 +162,16 @@ def fit_mixtures(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         first = seeds.first(k)
         for s in range(0, len(at), step):
             b = at[s : s + step]
-            log, dens = _fit(q[b], w[b], dims[b], x[b[:, None], first[b]])
+            log, dens, tilt = _fit(q[b], w[b], dims[b], x[b[:, None], first[b]])
             parts = 1 + dims[b] + dims[b] * (dims[b] + 1) / 2
             bic = -2 * (w[b] * np.where(w[b] > 0, dens, 0)).sum(1) + (k * parts - 1) * np.log(np.maximum(total[b], 2))
             better = bic < best[b]
             won = b[better]
             best[won], chosen[won] = bic[better], k
-            comp[won], density[won] = log[better].argmax(2), dens[better]
+            comp[won], density[won], slope[won] = log[better].argmax(2), dens[better], np.matmul(tilt[better], back[won])
             worse[won] = 0
             worse[b[~better]] += 1
-    return comp, density, chosen
+    return comp, density, slope, chosen
 
 
 def _near(centre: np.ndarray, radius: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -235,7 +245,7 @@ def link_clusters(u: np.ndarray, comp: np.ndarray, weight: np.ndarray) -> tuple[
     return cluster[patch_of], np.unique(site, return_inverse=True)[1][patch_of], doubt
 
 
-LABELS = "run_id string, cell int, cluster_id int, n bigint, component int, n_components int, density double, cluster int, site int, doubt_cell int"
+LABELS = "run_id string, cell int, cluster_id int, n bigint, component int, n_components int, density double, level double, sx double, sy double, sz double, cluster int, site int, doubt_cell int"
 
 
 def _label_runs(rows: pd.DataFrame) -> pd.DataFrame:
@@ -250,7 +260,7 @@ def _label_runs(rows: pd.DataFrame) -> pd.DataFrame:
     u = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     begin = np.flatnonzero(np.append(True, run[first][1:] != run[first][:-1]))
     size = np.diff(np.append(begin, len(first)))
-    comp, density, chosen = np.zeros(len(first), np.int64), np.zeros(len(first)), np.zeros(len(first), np.int64)
+    comp, density, slope, chosen = np.zeros(len(first), np.int64), np.zeros(len(first)), np.zeros((len(first), 3)), np.zeros(len(first), np.int64)
     level = np.ceil(np.log2(size)).astype(int)
     for lv in np.unique(level):  # runs of like size are fitted together
         mine = np.flatnonzero(level == lv)
@@ -261,8 +271,8 @@ def _label_runs(rows: pd.DataFrame) -> pd.DataFrame:
             idx = begin[part][:, None] + np.arange(length)
             real = np.arange(length) < size[part][:, None]
             idx = np.where(real, idx, 0)
-            c, d, k = fit_mixtures(u[idx], np.where(real, weight[idx], 0.0))
-            comp[idx[real]], density[idx[real]] = c[real], d[real]
+            c, d, g, k = fit_mixtures(u[idx], np.where(real, weight[idx], 0.0))
+            comp[idx[real]], density[idx[real]], slope[idx[real]] = c[real], d[real], g[real]
             chosen[idx[real]] = np.repeat(k, size[part])
     cluster, site = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     doubts = []
@@ -270,7 +280,8 @@ def _label_runs(rows: pd.DataFrame) -> pd.DataFrame:
     for b, n in zip(begin, size):
         cluster[b : b + n], site[b : b + n], doubt = link_clusters(u[b : b + n], comp[b : b + n], weight[b : b + n])
         doubts += [(run[first[b]], cells[b + i], cells[b + j]) for i, j in doubt]
-    out = rows[["run_id", "cell", "cluster_id", "n"]].assign(component=comp[cell_of], n_components=chosen[cell_of], density=density[cell_of], cluster=cluster[cell_of], site=site[cell_of], doubt_cell=None)
+    at_zero = density - (slope * u).sum(1)  # so that a pose's density is level + slope * direction
+    out = rows[["run_id", "cell", "cluster_id", "n"]].assign(component=comp[cell_of], n_components=chosen[cell_of], density=density[cell_of], level=at_zero[cell_of], sx=slope[cell_of, 0], sy=slope[cell_of, 1], sz=slope[cell_of, 2], cluster=cluster[cell_of], site=site[cell_of], doubt_cell=None)
     if doubts:
         extra = pd.DataFrame(doubts, columns=["run_id", "cell", "doubt_cell"]).assign(n=0)
         out = pd.concat([out, extra], ignore_index=True)
@@ -352,13 +363,15 @@ def strays(poses: DataFrame) -> DataFrame:
 def sites(poses: DataFrame) -> DataFrame:
     """run_id, site, n_poses, own_id, n_components, typical: every site with its densest TYPICAL poses.
 
+    A pose's density is the mixture's at its cell's mean direction, carried on to its own by its slope there.
     Sites are numbered within a run. Equally dense poses come by pose_id. Poses without angles are in none;
     a run without located poses has no site.
     """
     spots = located(poses)
     labels = label_cells(spots)
-    dense = labels.groupBy("run_id", "cell").agg(F.first("site").alias("site"), F.first("density").alias("density"), F.first("component").alias("component"))
-    ranked = top_n(spots.join(dense, ["run_id", "cell"]).withColumn("rarity", -F.col("density")), ["run_id", "site"], "pose_id", "rarity", TYPICAL)
+    dense = labels.groupBy("run_id", "cell").agg(*(F.first(c).alias(c) for c in ("site", "component", "level", "sx", "sy", "sz")))
+    own = F.col("level") + F.col("sx") * F.col("ux") + F.col("sy") * F.col("uy") + F.col("sz") * F.col("uz")
+    ranked = top_n(spots.join(dense, ["run_id", "cell"]).withColumn("rarity", -own), ["run_id", "site"], "pose_id", "rarity", TYPICAL)
     typical = ranked.groupBy("run_id", "site").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pose_id"))), lambda r: r["pose_id"]).alias("typical"))
     parts = dense.groupBy("run_id", "site").agg(F.countDistinct("component").alias("n_components"))
     return own_ids(labels).join(parts, ["run_id", "site"]).join(typical, ["run_id", "site"], "left").select("run_id", "site", "n_poses", "own_id", "n_components", "typical")

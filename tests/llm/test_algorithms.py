@@ -113,8 +113,14 @@ def test_mixture_finds_the_blobs():
     c = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1], [-1, 0, 0]])
     u = np.repeat(c, 50, 0) + rnd.normal(size=(200, 3)) * 0.05
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    comp, density, k = gmm.fit_mixtures(u[None], np.ones((1, 200)))
+    comp, density, slope, k = gmm.fit_mixtures(u[None], np.ones((1, 200)))
     assert k[0] == 4 and all(len(set(comp[0, i : i + 50])) == 1 for i in range(0, 200, 50))
+    # The slope tells the density nearby: the log density of a hair aside, from a mixture of all cells there.
+    i, aside = 10, np.array([1e-5, -2e-5, 1e-5])
+    moved = u.copy()
+    moved[i] += aside
+    dens = gmm.fit_mixtures(moved[None], np.append(np.ones(200), [])[None])[1]
+    assert abs(dens[0, i] - density[0, i] - slope[0, i] @ aside) < 0.2 * abs(slope[0, i] @ aside) + 1e-4
     middle = density[0, :50].argmax()
     assert u[middle] @ c[0] > 0.99
 
