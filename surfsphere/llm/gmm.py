@@ -223,6 +223,7 @@ def link_clusters(u: np.ndarray, comp: np.ndarray, weight: np.ndarray) -> tuple[
     def decided(part: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """``part`` joined where cells of the pairs ``some`` of patches decide it, and the pairs of cells that don't."""
         doubt = []
+        some = some & (part[a] != part[b])
         for i, j in zip(a[some], b[some]):
             if part[i] != part[j]:
                 ca, cb = order[begin[i] : begin[i + 1]], order[begin[j] : begin[j + 1]]
