@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
+
 
 def month_index(t: Column) -> Column:
     return F.year(t) * 12 + F.month(t) - 1
@@ -54,8 +56,9 @@ def orphan_references(
     """
     keys = [*ranges, code_of]
     refs = refs.select(*keys, *(c for c in extra if c not in keys), F.col(at).alias("at")).dropna(subset=[*keys, "at"]).distinct()
-    refs = refs.withColumn("period", month_index(F.col("at")))
-    spans = spans.select(*keys, "valid_from", "valid_to").dropna(subset=[*keys, "valid_from"])
+    # Both are read several times below: different references and spans are far fewer than rows.
+    refs = durable(refs.withColumn("period", month_index(F.col("at"))))
+    spans = durable(spans.select(*keys, "valid_from", "valid_to").dropna(subset=[*keys, "valid_from"]).distinct())
     codes = dictionary(refs, ranges, code_of)
     integer = dict(codes.dtypes)[code_of] != "string"
 
