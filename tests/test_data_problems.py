@@ -151,8 +151,11 @@ def test_points_in_regions_of_all_sizes(spark):
     assert regions.region_join(p.limit(0), g, edge=8.0).count() == 0 and regions.region_join(p, g.limit(0), edge=8.0).count() == 0
 
 
-def test_contacts_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(regions, "HOT_POINTS", 50)  # splits dense nodes
+@pytest.mark.parametrize("sent, held", [(100_000, 400_000), (0, 60)])
+def test_contacts_against_brute_force(spark, monkeypatch, sent, held):
+    """Dense nodes are split by points and triangles; their table is sent to all tasks or joined by a shuffle."""
+    for name, value in (("HOT_POINTS", 50), ("HOT_TRIANGLES", 40), ("CHUNK", 500), ("SENT", sent), ("HELD", held)):
+        monkeypatch.setattr(regions, name, value)
     rnd = np.random.default_rng(4)
     a = [("s" if i % 3 else "t", i, *map(float, p)) for i, p in enumerate(rnd.uniform(-6, 6, (600, 3)))] + [("s", 5000, None, 0.0, 0.0), ("s", 5001, 9999.999, 9999.999, 9999.999)]
     v = [("s", i, *map(float, p)) for i, p in enumerate(rnd.uniform(-6, 6, (150, 3)))] + [("u", 1, 0.0, 0.0, 0.0), ("s", 7000, 0.0, None, 0.0)]
@@ -161,7 +164,28 @@ def test_contacts_against_brute_force(spark, monkeypatch):
     verts = spark.createDataFrame(v + v[:30], "structure_id string, vid bigint, vx double, vy double, vz double").withColumn("level", F.lit("x"))
     got = [tuple(r) for r in regions.contacts(atoms, verts).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert regions.contacts(atoms.limit(0), verts).count() == 0
+    assert regions.contacts(atoms.limit(0), verts).count() == 0 and regions.contacts(atoms, verts.limit(0)).count() == 0
+
+
+def test_one_point_repeated_many_times_in_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(regions, "HOT_POINTS", 100)
+    atoms = spark.range(20_000).select(F.lit("s").alias("structure_id"), F.lit(7).cast("bigint").alias("atom_idx"), *(F.lit(0.5).alias(c) for c in "xyz"))
+    verts = spark.range(3).select(F.lit("s").alias("structure_id"), F.col("id").alias("vid"), F.col("id").cast("double").alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.0).alias("vz"))
+    assert sorted(tuple(r) for r in regions.contacts(atoms, verts).collect()) == [("s", 7, 0), ("s", 7, 1)]
+
+
+def test_box_hierarchies_find_every_box():
+    rnd = np.random.default_rng(3)
+    node = np.sort(rnd.integers(0, 6, 400))
+    node = np.unique(node, return_inverse=True)[1]
+    lo = rnd.uniform(-5, 5, (400, 3))
+    hi = lo + rnd.uniform(0, 2, (400, 3))
+    order, tiers = regions._hierarchy(lo, hi, node)
+    assert sorted(order.tolist()) == list(range(400)) and len(tiers[-1][0]) == node.max() + 1
+    for (lo0, hi0, _, _), (lo1, hi1, begin, count) in zip(tiers, tiers[1:]):
+        assert count.max() <= regions.BRANCH and begin[0] == 0 and (begin[1:] == np.cumsum(count)[:-1]).all() and count.sum() == len(lo0)
+        for k, (b, n) in enumerate(zip(begin, count)):
+            assert (lo1[k] == lo0[b : b + n].min(0)).all() and (hi1[k] == hi0[b : b + n].max(0)).all()
 
 
 def test_running_sums_over_parts(spark):
