@@ -1,6 +1,10 @@
-"""Nearest targets and first hits of rays, by descending tiers of bounding boxes.
+"""Nearest targets and first hits of rays.
 
-Targets are gathered into boxes of two tiers. A point keeps the boxes of a tier whose nearest corner isn't
+Vertices: the points and vertices of a scope meet in a task, where blocks of points skip the blocks of vertices
+that lie too far away. Scopes of many rows are cut into cells first, which get the vertices of a margin around
+them too; points that may have a closer one outside it go on to larger cells, in the end to the whole scope.
+
+Triangles are gathered into boxes of two tiers. A point keeps the boxes of a tier whose nearest corner isn't
 farther than the farthest corner of its best box, and only meets the targets in the boxes that are left. Each
 step is an equi join on the tier's key; no point meets all targets of a large structure. The formulas are SQL
 text, so that the brute-force twins can state the same metric.
@@ -9,18 +13,29 @@ text, so that the brute-force twins can state the same metric.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import durable
+from .runs import in_runs
 
 #: Edges of the boxes of the two tiers, in the unit of the coordinates.
 TIERS = (64.0, 8.0)
 #: Coarse boxes that are sent to all tasks; more of them are joined by a shuffle, in which AQE splits large scopes.
 SENT = 200_000
+#: Rows up to which a scope, and points and vertices of a cell each, are one group of a task.
+GROUP = 50_000
+#: Edges of the cells of larger scopes, and their margins; so many points or less go on to the whole scope at once.
+CELLS = ((64.0, 8.0), (512.0, 64.0), (4096.0, 512.0))
+FEW = 10_000
+#: Points and vertices of a block, and pairs that are always compared at once.
+BLOCK, PAIRS = (64, 32), 300_000
 
 Stages = Sequence[dict[str, str]]
 
@@ -120,6 +135,8 @@ def nearest(points: DataFrame, targets: DataFrame | Boxes, metric: Stages = TRIA
     ``points``: scope, pid, px, py, pz. ``targets``: scope, tid and corners a (b, c). Points of a scope
     without targets have no row. Coordinates are not null.
     """
+    if metric is VERTEX:
+        return nearest_vertex(points, targets.targets if isinstance(targets, Boxes) else targets)
     targets, coarse, fine = targets if isinstance(targets, Boxes) else boxes(targets)
     kept = points.select("scope", "pid", "px", "py", "pz")
     box = [f"{m}{a}" for a in "xyz" for m in ("lo", "hi")]
@@ -134,6 +151,149 @@ def nearest(points: DataFrame, targets: DataFrame | Boxes, metric: Stages = TRIA
     return won.select("scope", "pid", "m.tid", F.sqrt("m.d2").alias("distance"), "m.qx", "m.qy", "m.qz")
 
 
+def _blocks(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows of ``x`` in blocks of neighbours, by halving along the longest edge."""
+    out, left = [], [np.arange(len(x))]
+    while left:
+        i = left.pop()
+        if len(i) <= size:
+            out.append(i)
+            continue
+        own = x[i]
+        o = np.argpartition(own[:, (own.max(0) - own.min(0)).argmax()], len(i) // 2)
+        left += [i[o[: len(i) // 2]], i[o[len(i) // 2 :]]]
+    return out
+
+
+def _d2(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Squared distances, summed up as in VERTEX."""
+    d = [p[:, None, a] - t[None, :, a] for a in range(3)]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def _all_pairs(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The first of the closest ``t`` for every ``p``; what isn't a number is farther than infinity, as in Spark."""
+    at = np.zeros(len(p), np.int64)
+    step = max(1, PAIRS // len(t))
+    for k in range(0, len(p), step):
+        d2 = _d2(p[k : k + step], t)
+        at[k : k + step] = np.where(np.isnan(d2), np.inf, d2).argmin(1)
+        for i in np.flatnonzero(~np.isfinite(d2[np.arange(len(d2)), at[k : k + step]])):
+            at[k + i] = np.isnan(d2[i]).argmin()
+    return at
+
+
+def _closest(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """As ``_all_pairs``, skipping blocks of ``t``."""
+    if len(p) * len(t) <= PAIRS:
+        return _all_pairs(p, t)
+    fine, some = np.isfinite(t).all(1), np.isfinite(p).all(1)
+    at = np.zeros(len(p), np.int64)
+    if not some.all() or not fine.any():
+        at[~some] = _all_pairs(p[~some], t)
+        if fine.any() and some.any():
+            at[some] = _closest(p[some], t)
+        elif some.any():
+            at[some] = _all_pairs(p[some], t)
+        return at
+    if not fine.all():
+        return np.flatnonzero(fine)[_closest(p, t[fine])]
+    blocks = _blocks(t, BLOCK[1])
+    lo, hi = (np.array([f(t[b], axis=0) for b in blocks]) for f in (np.min, np.max))
+    for b in _blocks(p, BLOCK[0]):
+        own = p[b]
+        gap = np.maximum(np.maximum(lo - own.max(0), own.min(0) - hi), 0.0)
+        near = (gap * gap).sum(1)
+        middle = (lo + hi - own.max(0) - own.min(0)) / 2
+        first = np.argsort((middle * middle).sum(1))[:4]
+        bound = _d2(own, t[np.concatenate([blocks[i] for i in first])]).min(1).max()
+        met = np.sort(np.concatenate([blocks[i] for i in np.flatnonzero(~(near > bound * (1 + 1e-9)))]))
+        at[b] = met[_d2(own, t[met]).argmin(1)]
+    return at
+
+
+def _vertex_kernel(rows: pa.Table) -> pa.Table:
+    """The closest vertex of every point of a group; of points with one pid, only that of the closest."""
+    point = rows["point"].to_numpy()
+    at = np.stack([rows[a].to_numpy() for a in "xyz"], 1)
+    p, t, tid = at[point], at[~point], rows["tid"].to_numpy()[~point]
+    own = rows.filter(pa.array(point)).select(["scope", "pid", "x", "y", "z"])
+    if len(p) and len(t):
+        order = np.argsort(tid, kind="stable")
+        t, tid = t[order], tid[order]
+        won = _closest(p, t)
+    else:
+        own, p, won = own.slice(0, 0), p[:0], np.zeros(0, np.int64)
+    q = t[won]
+    d = p - q
+    for name, c in (("d2", d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]), ("tid", tid[won]), *((f"q{a}", q[:, k]) for k, a in enumerate("xyz"))):
+        own = own.append_column(name, pa.array(c))
+    code = own["pid"].combine_chunks().dictionary_encode().indices.to_numpy()
+    if len(code) and code.max() + 1 < len(code):
+        order = np.lexsort((own["tid"].to_numpy(), own["d2"].to_numpy(), code))
+        own = own.take(pa.array(order[np.append(True, np.diff(code[order]) > 0)]))
+    return own
+
+
+def _met(points: DataFrame, vertices: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    side = [*keys, "point", "pid", "tid", "x", "y", "z"]
+    p = points.withColumns({"point": F.lit(True), "tid": F.lit(0).cast("bigint")}).select(*side)
+    v = vertices.withColumns({"point": F.lit(False), "pid": F.lit(None).cast(dict(points.dtypes)["pid"])}).select(*side)
+    return in_runs(p.unionByName(v), keys, _vertex_kernel, schema)
+
+
+def _celled(df: DataFrame, edge: float | None, margin: float) -> DataFrame:
+    """Rows in every cell in whose margin they lie; without an edge all are in one."""
+    for a in "xyz":
+        c = F.array(F.lit(0).cast("bigint")) if edge is None else F.sequence(F.floor((F.col(a) - margin) / edge), F.floor((F.col(a) + margin) / edge))
+        df = df.withColumn(f"c{a}", F.explode(c))
+    return df
+
+
+def _parted(points: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Crowded cells as a grid of parts, points by vertices."""
+    cell = ["scope", "cx", "cy", "cz"]
+    both = points.select(*cell, F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(vertices.select(*cell, F.lit(0).alias("n"), F.lit(1).alias("m")))
+    parts = [F.ceil(F.sum(c) / GROUP).cast("int").alias(f"{c}s") for c in "nm"]
+    crowded = F.broadcast(both.groupBy(*cell).agg(*parts).where("ns > 1 OR ms > 1"))  # at most two for GROUP rows
+    count = {c: F.greatest(F.coalesce(f"{c}s", F.lit(1)), F.lit(1)) for c in "nm"}
+
+    def cut(df: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+        df = df.join(crowded, cell, "left").withColumn(f"{own}_part", F.pmod(F.xxhash64(*by), count[own]).cast("int"))
+        return df.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), count[other] - 1))).drop("ns", "ms")
+
+    return cut(points, "n", "m", "pid", "x", "y", "z"), cut(vertices, "m", "n", "tid", "x", "y", "z"), [*cell, "n_part", "m_part"]
+
+
+def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``nearest`` of vertices (scope, tid, ax, ay, az)."""
+    pts = durable(points.select("scope", "pid", *(F.col(f"p{a}").cast("double").alias(a) for a in "xyz")))
+    vs = durable(vertices.select("scope", F.col("tid").cast("bigint").alias("tid"), *(F.col(f"a{a}").cast("double").alias(a) for a in "xyz")))
+    kind = dict(pts.dtypes)
+    schema = f"scope {kind['scope']}, pid {kind['pid']}, x double, y double, z double, d2 double, tid bigint, qx double, qy double, qz double"
+    large = durable(pts.select("scope").unionByName(vs.select("scope")).groupBy("scope").count().where(F.col("count") > GROUP).select("scope"))
+    large = F.broadcast(large)  # at most one for GROUP rows
+    best = _met(pts.join(large, "scope", "left_anti"), vs.join(large, "scope", "left_anti"), ["scope"], schema)
+    left, vs = pts.join(large, "scope", "left_semi"), vs.join(large, "scope", "left_semi")
+    found, levels, n = [], [*CELLS, (None, 0.0)], left.count()
+    place = ["scope", "pid", "x", "y", "z"]
+    while n:
+        edge, margin = levels.pop(0) if n > FEW else levels[-1]
+        m = _met(*_parted(_celled(left, edge, 0.0), _celled(vs, edge, margin)), schema).groupBy(*place).agg(F.min(F.struct("d2", "tid", "qx", "qy", "qz")).alias("m"))
+        # A tenth of the margin covers what rounding moves over a cell's border.
+        m = durable(m if edge is None else m.where(F.col("m.d2") <= (0.9 * margin) ** 2))
+        found.append(m)
+        if edge is None:
+            break
+        left = durable(left.join(m.select(*place), place, "left_anti"))
+        n = left.count()
+    best = best.select("scope", "pid", "d2", "tid", "qx", "qy", "qz")
+    if found:
+        more = reduce(DataFrame.unionByName, found).groupBy("scope", "pid").agg(F.min("m").alias("m"))  # a pid can have several points
+        best = best.unionByName(more.select("scope", "pid", "m.*"))
+    return best.select("scope", "pid", "tid", F.sqrt("d2").alias("distance"), "qx", "qy", "qz")
+
+
 def first_hits(points: DataFrame, triangles: DataFrame | Boxes) -> DataFrame:
     """scope, pid, tid, distance, qx, qy, qz of the first triangle hit by the ray from (ox, oy, oz) towards (px, py, pz).
 

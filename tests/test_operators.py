@@ -157,6 +157,52 @@ def test_nearest_and_rays_against_brute_force(spark):
     assert nearest.raycast(p, t).count() == len(pts)
 
 
+@pytest.mark.parametrize("group, few", [(50_000, 10_000), (40, 0), (40, 10_000)])
+def test_nearest_vertices_of_scopes_cut_into_cells(spark, monkeypatch, group, few):
+    monkeypatch.setattr(nearest, "GROUP", group)
+    monkeypatch.setattr(nearest, "FEW", few)
+    monkeypatch.setattr(nearest, "PAIRS", 500)
+    rnd = np.random.default_rng(5)
+    sets = {}
+    for scope, n, m in (("large", 400, 300), ("small", 12, 9), ("bare", 5, 0), ("idle", 0, 7)):
+        pts, vs = rnd.uniform(-90, 90, (n, 3)), np.round(rnd.uniform(-90, 90, (m, 3)))
+        vs[m // 2 :] = vs[: m - m // 2]  # equal places: the lowest tid wins
+        if scope == "large":
+            pts[:4] = [[9999.999, 9999.999, 9999.999], [-300.0, 0.0, 4000.0], [0.0, 0.0, 1e9], [-64.0, 64.0, 0.0]]
+            pts[4:50] = rnd.uniform(-1, 1, (46, 3))
+            vs[:40] = rnd.uniform(-1, 1, (40, 3))
+        sets[scope] = pts, vs
+    p = [(s, f"{s}{i}", *map(float, x)) for s, (pts, _) in sets.items() for i, x in enumerate(pts)] + [("large", "large7", 50.0, 50.0, 50.0)]
+    v = [(s, 1000 - i, *map(float, x)) for s, (_, vs) in sets.items() for i, x in enumerate(vs)]
+    p_df = spark.createDataFrame(p, "scope string, pid string, px double, py double, pz double")
+    v_df = spark.createDataFrame(v, "scope string, tid bigint, ax double, ay double, az double")
+    want = {}
+    for s, pid, *x in p:
+        for s2, tid, *y in v:
+            if s == s2:
+                d2 = (x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2 + (x[2] - y[2]) ** 2
+                want[s, pid] = min(want.get((s, pid), (math.inf,)), (d2, tid, *y))
+    got = nearest.nearest(p_df, v_df, nearest.VERTEX).collect()
+    assert len(got) == len(want)
+    assert {(r["scope"], r["pid"]): (r["distance"], r["tid"], r["qx"], r["qy"], r["qz"]) for r in got} == {k: (math.sqrt(w[0]), *w[1:]) for k, w in want.items()}
+
+
+def test_nearest_vertices_compare_blocks_not_all_pairs(spark, monkeypatch):
+    """Every point once met all vertices of the boxes it kept, as rows: 10 million pairs of 0.01 GB went to the disk."""
+    compared = []
+    plain = nearest._d2
+    monkeypatch.setattr(nearest, "_d2", lambda p, t: compared.append(len(p) * len(t)) or plain(p, t))
+    rnd = np.random.default_rng(6)
+    p, t = rnd.uniform(0, 100, (3000, 3)), rnd.uniform(0, 100, (3000, 3))
+    assert (nearest._closest(p, t) == nearest._all_pairs(p, t)).all()
+    all_pairs = 9_000_000
+    assert sum(compared) - all_pairs < all_pairs / 3
+    p[7], t[3], t[5] = [np.nan, 0, 0], [np.inf, 0, 0], [0, np.nan, 0]
+    assert (nearest._closest(p, t) == nearest._all_pairs(p, t)).all()
+    odd = np.array([[np.nan, 0, 0], [np.inf, 0, 0]])
+    assert nearest._all_pairs(np.zeros((1, 3)), odd).tolist() == [1] and nearest._closest(p, odd).tolist() == nearest._all_pairs(p, odd).tolist()
+
+
 def test_block_surface_equals_the_sparse_one(spark):
     rnd = np.random.default_rng(1)
     atoms = spark.createDataFrame([("s" if i % 2 else "t", *map(float, x), str(rnd.choice(["C", "H", "ZN"]))) for i, x in enumerate(rnd.uniform(0, 30, (60, 3)))] + [("s", 1.0, 1.0, 1.0, "C")] * 2, "scope string, x double, y double, z double, element string")
