@@ -364,7 +364,7 @@ def raycast(spark, d):
 
 
 def _atom_cloud(spark: SparkSession, d: str) -> DataFrame:
-    heavy = residues.interface_atoms(views.interface(spark, d), views.atoms(spark, d), S, heavy=True)
+    heavy = residues.interface_atoms(views.interface(spark, d), views.atom_rows(spark, d), S, heavy=True).distinct()
     points = heavy.select("scope", F.col("atom_idx").alias("pid"), *(F.col(c).alias(f"p{c}") for c in "xyz"))
     return nearest.nearest(points, _vertex_targets(spark, d), nearest.VERTEX)
 

@@ -26,12 +26,17 @@ def r6(e: str) -> str:
     return f"(round({e} + 1.3e-7, 6) + 0.0e0)"
 
 
-def atoms(spark: SparkSession, d: str) -> DataFrame:
+def atom_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The atoms with their redelivered rows, for those who make them distinct behind a join by the join's own shuffle."""
     a = table(spark, d, "atoms").where("structure_id IS NOT NULL AND resseq IS NOT NULL AND name IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     return a.select(
         F.col("structure_id").alias("scope"), "atom_idx", F.coalesce("chain", F.lit("?")).alias("chain"), F.coalesce("resname", F.lit("UNK")).alias("resname"), "resseq",
         F.coalesce("icode", F.lit("")).alias("icode"), "name", element_or_guess(F.col("element"), F.col("name")).alias("element"), "x", "y", "z",
-    ).distinct()
+    )
+
+
+def atoms(spark: SparkSession, d: str) -> DataFrame:
+    return atom_rows(spark, d).distinct()
 
 
 def poses(spark: SparkSession, d: str) -> DataFrame:

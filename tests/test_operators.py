@@ -203,6 +203,34 @@ def test_nearest_vertices_compare_blocks_not_all_pairs(spark, monkeypatch):
     assert nearest._all_pairs(np.zeros((1, 3)), odd).tolist() == [1] and nearest._closest(p, odd).tolist() == nearest._all_pairs(p, odd).tolist()
 
 
+def _cloud_tables(spark, d):
+    """Two structures with 25 and 5 interface atoms at 5 vertices; every row is there twice, atoms with another loaded_at."""
+    atoms = [(s, i, "A", "ALA", i // 3, "", "CB", "C", 10.0 * (i % 5) + 0.5, i / 100, 0.0) for s, n in (("s", 25), ("t", 5)) for i in range(n)]
+    a = spark.createDataFrame(atoms, "structure_id string, atom_idx bigint, chain string, resname string, resseq int, icode string, name string, element string, x double, y double, z double")
+    a.withColumn("loaded_at", F.lit(1)).unionByName(a.withColumn("loaded_at", F.lit(2))).write.parquet(str(d / "atoms.parquet"))
+    i = spark.createDataFrame(sorted({(x[0], x[2], x[4], "") for x in atoms}), "structure_id string, chain string, resseq int, icode string")
+    i.unionByName(i).write.parquet(str(d / "interface_residues.parquet"))
+    v = spark.createDataFrame([(s, k, 10.0 * k, 0.0, 0.0) for s in "st" for k in range(5)], "structure_id string, vid bigint, vx double, vy double, vz double")
+    v.unionByName(v).write.parquet(str(d / "mesh_vertices.parquet"))
+
+
+def test_atoms_of_the_cloud_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """They were shuffled to make them distinct and again to join them, more than the input each time."""
+    _cloud_tables(spark, tmp_path)
+    seen = []
+    plain = nearest.nearest
+    monkeypatch.setattr(nearest, "nearest", lambda points, *more: seen.append(points) or plain(points, *more))
+    got = reference_queries.QUERIES["ppi_atom_cloud"](spark, str(tmp_path)).collect()
+    assert sorted((r["scope"], r["atom_idx"]) for r in got) == [("s", i) for i in range(25)] + [("t", i) for i in range(5)]
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = seen[0].select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert plan.count("Exchange hashpartitioning") == 2  # atoms, interface
+
+
 def test_block_surface_equals_the_sparse_one(spark):
     rnd = np.random.default_rng(1)
     atoms = spark.createDataFrame([("s" if i % 2 else "t", *map(float, x), str(rnd.choice(["C", "H", "ZN"]))) for i, x in enumerate(rnd.uniform(0, 30, (60, 3)))] + [("s", 1.0, 1.0, 1.0, "C")] * 2, "scope string, x double, y double, z double, element string")
