@@ -606,9 +606,9 @@ FEW = 20
 def ppi_footprint_hist(spark, d):
     """The interface atoms' places on the surface by map cell, for structures with at least FEW of them."""
     n, uv = _mapped(_atom_cloud(spark, d), spark, d)
-    spots = durable(n.select("scope", *(c.alias(k) for k, c in uv.items())))
-    many = spots.groupBy("scope").count().where(F.col("count") >= FEW).select("scope")
-    return grids.histogram(spots.join(many, S), S, math.pi / 2 - F.col("phi"), F.col("theta"))
+    spots = n.select("scope", grids.closed_bin(math.pi / 2 - uv["phi"], -math.pi / 2, math.pi / 2, 180).alias("iy"), grids.closed_bin(uv["theta"], -math.pi, math.pi, 360).alias("ix"))
+    cells = spots.groupBy("scope", "iy", "ix").agg(F.sum(F.lit(1.0)).alias("value")).withColumn("n", F.sum("value").over(Window.partitionBy("scope")))
+    return cells.where((F.col("n") >= FEW) & F.col("iy").isNotNull() & F.col("ix").isNotNull()).drop("n")
 
 
 _BG = f"SELECT scope, greatest(0, least(179, {_bin_sql('lat', *_LATB)})) AS iy, greatest(0, least(359, {_bin_sql('lon', *_LONB)})) AS ix, avg(radial) AS value FROM (SELECT v.scope, {_THETA} AS lon, {_HALF} - ({_PHI}) AS lat, {_R} AS radial FROM v JOIN o ON v.scope = o.scope) m GROUP BY 1, 2, 3"

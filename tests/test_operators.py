@@ -231,6 +231,13 @@ def test_atoms_of_the_cloud_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 2  # atoms, interface
 
 
+def test_footprint_histogram_keeps_no_copy_of_its_points(spark, tmp_path, monkeypatch):
+    _cloud_tables(spark, tmp_path)
+    monkeypatch.setattr(reference_queries, "durable", lambda df: pytest.fail("the points were written to the disk once more"))
+    got = reference_queries.QUERIES["ppi_footprint_hist"](spark, str(tmp_path)).collect()
+    assert {r["scope"] for r in got} == {"s"} and sum(r["value"] for r in got) == 25 and len(got) == len({(r["iy"], r["ix"]) for r in got})
+
+
 def test_block_surface_equals_the_sparse_one(spark):
     rnd = np.random.default_rng(1)
     atoms = spark.createDataFrame([("s" if i % 2 else "t", *map(float, x), str(rnd.choice(["C", "H", "ZN"]))) for i, x in enumerate(rnd.uniform(0, 30, (60, 3)))] + [("s", 1.0, 1.0, 1.0, "C")] * 2, "scope string, x double, y double, z double, element string")
