@@ -12,7 +12,7 @@ text, so that the brute-force twins can state the same metric.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -250,10 +250,9 @@ def _celled(df: DataFrame, edge: float | None, margin: float) -> DataFrame:
     return df
 
 
-def _parted(points: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Crowded cells as a grid of parts, points by vertices."""
-    cell = ["scope", "cx", "cy", "cz"]
-    both = points.select(*cell, F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(vertices.select(*cell, F.lit(0).alias("n"), F.lit(1).alias("m")))
+def _parted(points: DataFrame, targets: DataFrame, cell: list[str], point: list[str], target: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Crowded cells as a grid of parts, points by targets, each spread by the columns named last."""
+    both = points.select(*cell, F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(targets.select(*cell, F.lit(0).alias("n"), F.lit(1).alias("m")))
     parts = [F.ceil(F.sum(c) / GROUP).cast("int").alias(f"{c}s") for c in "nm"]
     crowded = F.broadcast(both.groupBy(*cell).agg(*parts).where("ns > 1 OR ms > 1"))  # at most two for GROUP rows
     count = {c: F.greatest(F.coalesce(f"{c}s", F.lit(1)), F.lit(1)) for c in "nm"}
@@ -262,7 +261,7 @@ def _parted(points: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFram
         df = df.join(crowded, cell, "left").withColumn(f"{own}_part", F.pmod(F.xxhash64(*by), count[own]).cast("int"))
         return df.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), count[other] - 1))).drop("ns", "ms")
 
-    return cut(points, "n", "m", "pid", "x", "y", "z"), cut(vertices, "m", "n", "tid", "x", "y", "z"), [*cell, "n_part", "m_part"]
+    return cut(points, "n", "m", *point), cut(targets, "m", "n", *target), [*cell, "n_part", "m_part"]
 
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -279,7 +278,7 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
     place = ["scope", "pid", "x", "y", "z"]
     while n:
         edge, margin = levels.pop(0) if n > FEW else levels[-1]
-        m = _met(*_parted(_celled(left, edge, 0.0), _celled(vs, edge, margin)), schema).groupBy(*place).agg(F.min(F.struct("d2", "tid", "qx", "qy", "qz")).alias("m"))
+        m = _met(*_parted(_celled(left, edge, 0.0), _celled(vs, edge, margin), ["scope", "cx", "cy", "cz"], place[1:], ["tid", "x", "y", "z"]), schema).groupBy(*place).agg(F.min(F.struct("d2", "tid", "qx", "qy", "qz")).alias("m"))
         # A tenth of the margin covers what rounding moves over a cell's border.
         m = durable(m if edge is None else m.where(F.col("m.d2") <= (0.9 * margin) ** 2))
         found.append(m)
@@ -294,27 +293,182 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
     return best.select("scope", "pid", "tid", F.sqrt("d2").alias("distance"), "qx", "qy", "qz")
 
 
+#: Directions are cut into FACE x FACE cells on each side of a cube.
+FACE = 4
+#: Triangles that a block of rays meets at once, the nearest first.
+MEETS = 128
+_CORNERS = [f"{c}{a}" for c in "abc" for a in "xyz"]
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1))
+    return x / np.where(n > 0, n, 1.0)[:, None]
+
+
+def _cell_caps() -> tuple[np.ndarray, np.ndarray]:
+    """Middle and angular radius of every cell of directions."""
+    e = np.linspace(-1, 1, FACE + 1)
+    middles, radii = [], []
+    for face in range(6):
+        for i in range(FACE):
+            for j in range(FACE):
+                uv = np.array([(e[i + k], e[j + n]) for k in (0, 1) for n in (0, 1)])
+                corner = _unit_rows(np.insert(uv, face % 3, -1.0 if face < 3 else 1.0, axis=1))
+                middle = _unit_rows(corner.sum(0, keepdims=True))[0]
+                middles.append(middle)
+                radii.append(np.arccos(np.clip(corner @ middle, -1, 1)).max() + 1e-6)
+    return np.array(middles), np.array(radii)
+
+
+def _cell_of(g: np.ndarray) -> np.ndarray:
+    axis = np.abs(g).argmax(1)
+    rows = np.arange(len(g))
+    rest = np.array([[1, 2], [0, 2], [0, 1]])[axis]
+    uv = g[rows[:, None], rest] / np.abs(g[rows, axis])[:, None]
+    i = np.clip(np.nan_to_num((uv + 1) / 2 * FACE), 0, FACE - 1).astype(np.int64)
+    return ((axis + 3 * (g[rows, axis] > 0)) * FACE + i[:, 0]) * FACE + i[:, 1]
+
+
+def _caps(tri: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of triangles seen from ``o``: middle and angular radius of a cap of directions around each, and a distance none is nearer than.
+
+    Flat ones and those seen edge on, whose hits are a matter of rounding, may be in any direction and at any distance.
+    """
+    with np.errstate(all="ignore"):
+        at = tri - o
+        u, v = at[:, 1] - at[:, 0], at[:, 2] - at[:, 0]
+        normal = np.cross(u, v)
+        area, sides = np.sqrt((normal * normal).sum(1)), np.sqrt((u * u).sum(1) * (v * v).sum(1))
+        height = np.abs((normal * at[:, 0]).sum(1)) / area
+        far = np.sqrt((at * at).sum(2)).max(1)
+        to = np.stack([_unit_rows(at[:, k]) for k in range(3)], 1)
+        middle = _unit_rows(to.sum(1))
+        radius = np.arccos(np.clip((to * middle[:, None]).sum(2), -1, 1)).max(1) + 1e-6
+        box = np.maximum(np.maximum(at.min(1), -at.max(1)), 0.0)
+        near = np.maximum(height, np.sqrt((box * box).sum(1))) * (1 - 1e-6) - 1e-6
+        sure = (area > 1e-6 * sides) & (height > 1e-6 * far) & (radius < 1.5) & np.isfinite(near)
+    middle = np.where(sure[:, None], middle, [1.0, 0.0, 0.0])
+    return middle, np.where(sure, radius, np.pi), np.where(sure, near, -np.inf)
+
+
+def _hit(p_o: np.ndarray, g: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Distances of hits along rays from the one origin, as in RAY; infinite without one."""
+    a, u, v = tri[:, 0], tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0]
+    w = p_o - a
+
+    def cross(p: Sequence[np.ndarray], q: Sequence[np.ndarray]) -> list[np.ndarray]:
+        return [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+
+    def dot(p: Sequence[np.ndarray], q: Sequence[np.ndarray]) -> np.ndarray:
+        return p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+
+    with np.errstate(all="ignore"):
+        gs, us, vs, ws = [g[:, None, k] for k in range(3)], u.T, v.T, w.T
+        h, k = cross(gs, vs), cross(ws, us)
+        det = dot(us, h)
+        fb, fc, along = dot(ws, h) / det, dot(gs, k) / det, dot(vs, k) / det
+        return np.where((np.abs(det) > 1e-14) & (fb >= 0) & (fc >= 0) & (fb + fc <= 1) & (along > 1e-9), along, np.inf)
+
+
+def _first(o: np.ndarray, g: np.ndarray, tri: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and id of the first hit of rays from the one origin; ties go to the lowest id, no hit is infinite."""
+    best, won = np.full(len(g), np.inf), np.full(len(g), -1, np.int64)
+    middle, radius, near = _caps(tri, o)
+    order = np.argsort(near, kind="stable")
+    middle, radius, near, tri, tid = middle[order], radius[order], near[order], tri[order], tid[order]
+    cos, sin = np.cos(radius), np.sin(radius)
+    for b in _blocks(g, BLOCK[0]):
+        own = _unit_rows(g[b].sum(0, keepdims=True))[0]
+        r = np.arccos(np.clip(g[b] @ own, -1, 1)).max() + 1e-6
+        seen = np.flatnonzero((radius + r >= np.pi) | (middle @ own >= cos * np.cos(r) - sin * np.sin(r) - 1e-9))
+        for k in range(0, len(seen), MEETS):
+            some = seen[k : k + MEETS]
+            b = b[best[b] >= near[some[0]]]
+            if not len(b):
+                break
+            t = _hit(o, g[b], tri[some])
+            least = t.min(1)
+            first = np.where(t == least[:, None], tid[some], np.iinfo(np.int64).max).min(1)
+            take = (least < best[b]) | (least == best[b]) & (least < np.inf) & (first < won[b])
+            best[b[take]], won[b[take]] = least[take], first[take]
+    return best, won
+
+
+def _ray_kernel(rows: pa.Table) -> pa.Table:
+    """The first hits of a group's rays, whose point is in the first corner's and origin in the second corner's columns."""
+    ray = rows["point"].to_numpy()
+    at = np.stack([rows[c].to_numpy() for c in _CORNERS], 1)
+    p, o, tri, tid = at[ray, :3], at[ray, 3:6], at[~ray].reshape(-1, 3, 3), rows["tid"].to_numpy()[~ray]
+    d = p - o
+    g = d / np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])[:, None]
+    t, won = np.full(len(p), np.inf), np.full(len(p), -1, np.int64)
+    sound = np.flatnonzero(np.isfinite(g).all(1))
+    if len(sound) and len(tri):
+        origins, which = np.unique(o[sound], axis=0, return_inverse=True)
+        for k, origin in enumerate(origins):
+            own = sound[which.ravel() == k]
+            t[own], won[own] = _first(origin, g[own], tri, tid)
+    met = np.isfinite(t)
+    out = rows.filter(pa.array(ray)).filter(pa.array(met)).select(["scope", "pid"])
+    cols = [("t", t), ("tid", won), *((f"{n}{a}", x[:, k]) for n, x in (("p", p), ("o", o), ("g", g)) for k, a in enumerate("xyz"))]
+    for name, c in cols:
+        out = out.append_column(name, pa.array(c[met]))
+    return out
+
+
+def _in_directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rays with the cell of their direction, triangles with every cell in which they may be seen from (ox, oy, oz)."""
+    middles, radii = _cell_caps()
+    for batch in batches:
+        at = np.stack([batch[c].to_numpy() for c in _CORNERS], 1)
+        ray = batch["point"].to_numpy(zero_copy_only=False)
+        row, cell = np.flatnonzero(ray), _cell_of(at[ray, :3] - at[ray, 3:6])
+        tri = np.flatnonzero(~ray)
+        if len(tri):
+            middle, radius, _ = _caps(at[tri].reshape(-1, 3, 3), np.stack([batch[f"o{a}"].to_numpy() for a in "xyz"], 1)[tri][:, None])
+            apart = np.arccos(np.clip(middle @ middles.T, -1, 1))
+            i, c = np.nonzero(apart <= radius[:, None] + radii + 1e-6)
+            row, cell = np.append(row, tri[i]), np.append(cell, c)
+        yield batch.take(pa.array(row)).append_column("cell", pa.array(cell))
+
+
 def first_hits(points: DataFrame, triangles: DataFrame | Boxes) -> DataFrame:
     """scope, pid, tid, distance, qx, qy, qz of the first triangle hit by the ray from (ox, oy, oz) towards (px, py, pz).
 
-    Rays without a hit, or whose point is the origin itself, have no row.
+    Rays without a hit, or whose point is the origin itself, have no row. Rays and triangles of a scope meet in
+    a task, where blocks of rays skip the triangles that they don't see and those beyond their hits; scopes of
+    many rows are cut into cells of directions first. Rays of a scope should have few origins, as triangles are
+    sorted by direction once for each.
     """
-    triangles, coarse, fine = triangles if isinstance(triangles, Boxes) else boxes(triangles)
+    return _first_hits(durable(points), triangles.targets if isinstance(triangles, Boxes) else durable(triangles))
+
+
+def _first_hits(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Reads both several times."""
     length = F.sqrt(sum(((F.col(f"p{a}") - F.col(f"o{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
-    rays = points.withColumn("length", length).where("length >= 1e-12")
-    rays = rays.withColumns({f"g{a}": (F.col(f"p{a}") - F.col(f"o{a}")) / F.col("length") for a in "xyz"})
-    box = [f"{m}{a}" for a in "xyz" for m in ("lo", "hi")]
-    for on, tier in zip((["scope"], ["scope", "box0"]), (coarse, fine)):
-        enter, leave = [], []
-        for a in "xyz":
-            g, lo, hi = F.col(f"g{a}"), F.col(f"lo{a}") - F.col(f"o{a}") - 1e-6, F.col(f"hi{a}") - F.col(f"o{a}") + 1e-6
-            flat = g == 0
-            outside = (lo > 0) | (hi < 0)
-            enter.append(F.when(flat, F.when(outside, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))).otherwise(F.least(F.try_divide(lo, g), F.try_divide(hi, g))))
-            leave.append(F.when(flat, F.lit(float("inf"))).otherwise(F.greatest(F.try_divide(lo, g), F.try_divide(hi, g))))
-        crossed = F.greatest(*enter, F.lit(0.0)) <= F.least(*leave)
-        rays = rays.join(tier, on).where(crossed).drop(*box)
-    hits = staged(rays.join(triangles.drop(*box), ["scope", "box0", "box1"]), RAY).where("t IS NOT NULL")
+    zero = F.lit(0.0)
+    side = ["scope", "point", "pid", "tid", *_CORNERS]
+    rays = points.where(length >= 1e-12).select(
+        "scope", F.lit(True).alias("point"), "pid", F.lit(0).cast("bigint").alias("tid"),
+        *((F.col(f"p{a}") if c == "a" else F.col(f"o{a}") if c == "b" else zero).cast("double").alias(f"{c}{a}") for c in "abc" for a in "xyz"),
+    )
+    kind = dict(rays.dtypes)
+    tris = triangles.withColumns({"point": F.lit(False), "pid": F.lit(None).cast(kind["pid"]), "tid": F.col("tid").cast("bigint")}).select(*side)
+    both = rays.unionByName(tris)
+    large = F.broadcast(durable(both.groupBy("scope").count().where(F.col("count") > GROUP).select("scope")))  # at most one for GROUP rows
+    schema = f"scope {kind['scope']}, pid {kind['pid']}, t double, tid bigint, " + ", ".join(f"{n}{a} double" for n in "pog" for a in "xyz")
+    hits = in_runs(both.join(large, "scope", "left_anti"), ["scope"], _ray_kernel, schema)
+    many = both.join(large, "scope", "left_semi")
+    origin = {f"o{a}": F.col(f"b{a}") + 0.0 for a in "xyz"}  # one zero
+    origins = durable(many.where("point").withColumns(origin).select("scope", *origin).distinct())
+    n = origins.count()
+    if n:
+        seen = many.where("NOT point").join(F.broadcast(origins) if n <= SENT else origins, "scope").unionByName(many.where("point").withColumns(origin))
+        kinds = {**kind, **{k: "double" for k in origin}}
+        celled = seen.mapInArrow(_in_directions, ", ".join(f"{c} {kinds[c]}" for c in [*seen.columns]) + ", cell bigint")
+        cell = ["scope", *origin, "cell"]
+        r, t, keys = _parted(celled.where("point"), celled.where("NOT point"), cell, ["pid", *_CORNERS], ["tid", *_CORNERS])
+        hits = hits.unionByName(in_runs(r.unionByName(t), keys, _ray_kernel, schema))
     won = hits.groupBy("scope", "pid").agg(F.min(F.struct("t", "tid", *(f"{c}{a}" for c in "pog" for a in "xyz"))).alias("m"))
     q = {f"q{a}": F.col(f"m.o{a}") + F.col("m.t") * F.col(f"m.g{a}") for a in "xyz"}
     out = won.withColumns(q)
@@ -324,7 +478,8 @@ def first_hits(points: DataFrame, triangles: DataFrame | Boxes) -> DataFrame:
 
 def raycast(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """The first hit where there is one, else the closest surface point; ``hit`` tells which."""
-    points, made = durable(points), boxes(triangles)  # used twice
-    hit = durable(first_hits(points, made))
-    rest = points.join(hit.select("scope", "pid"), ["scope", "pid"], "left_anti")
-    return hit.withColumn("hit", F.lit(True)).unionByName(nearest(rest, made).withColumn("hit", F.lit(False)))
+    points, triangles = durable(points), durable(triangles)
+    hit = durable(_first_hits(points, triangles))
+    rest = durable(points.join(hit.select("scope", "pid"), ["scope", "pid"], "left_anti"))
+    near = nearest(rest, triangles.join(rest.select("scope").distinct(), "scope", "left_semi"))
+    return hit.withColumn("hit", F.lit(True)).unionByName(near.withColumn("hit", F.lit(False)))

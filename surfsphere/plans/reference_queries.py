@@ -306,8 +306,8 @@ def ca_trace_dedup(spark, d):
 # --- projection on the surface -------------------------------------------------------------------------
 
 
-def _interface_points(spark: SparkSession, d: str) -> DataFrame:
-    atoms = residues.interface_atoms(views.interface(spark, d), views.atoms(spark, d), S)
+def _interface_points(spark: SparkSession, d: str, own: DataFrame | None = None) -> DataFrame:
+    atoms = residues.interface_atoms(views.interface(spark, d), views.atoms(spark, d) if own is None else own, S)
     r = residues.residue_points(atoms, S, "sc_com")
     return r.withColumn("pid", F.concat_ws(":", "chain", F.col("resseq").cast("string"), "icode"))
 
@@ -359,7 +359,8 @@ UNION ALL SELECT scope, pid, sqrt(d2), FALSE FROM n WHERE NOT EXISTS (SELECT 1 F
     )
 )
 def raycast(spark, d):
-    points = _interface_points(spark, d).join(views.centres(spark, d), S)
+    atoms = views.atoms_by_residue(spark, d)
+    points = _interface_points(spark, d, atoms).join(views.centres(spark, d, atoms), S)
     return out(nearest.raycast(points, views.triangles(spark, d)), "scope", "pid", "hit", distance=F.col("distance"))
 
 

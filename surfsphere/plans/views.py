@@ -39,6 +39,11 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
     return atom_rows(spark, d).distinct()
 
 
+def atoms_by_residue(spark: SparkSession, d: str) -> DataFrame:
+    """``atoms``, made distinct where their residue's rows meet, so that a join by residue needs no shuffle of them."""
+    return atom_rows(spark, d).repartition("scope", "chain", "resseq", "icode").distinct()
+
+
 def poses(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "poses_mapped").where("run_id IS NOT NULL AND pose_idx IS NOT NULL AND theta IS NOT NULL AND phi IS NOT NULL AND cluster_id IS NOT NULL")
     p = p.where(F.abs("vina_score") < INF)
@@ -77,8 +82,8 @@ def strip_faces(spark: SparkSession, d: str) -> DataFrame:
     return f.select("scope", F.col("vid").alias("fid"), F.col("vid").alias("a"), (F.col("vid") + 1).alias("b"), (F.col("vid") + 2).alias("c"))
 
 
-def centres(spark: SparkSession, d: str) -> DataFrame:
-    return atoms(spark, d).groupBy("scope").agg(F.avg("x").alias("ox"), F.avg("y").alias("oy"), F.avg("z").alias("oz"))
+def centres(spark: SparkSession, d: str, own: DataFrame | None = None) -> DataFrame:
+    return (atoms(spark, d) if own is None else own).groupBy("scope").agg(F.avg("x").alias("ox"), F.avg("y").alias("oy"), F.avg("z").alias("oz"))
 
 
 _S = "upper(trim(translate(name, '0123456789', '')))"

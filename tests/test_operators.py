@@ -203,6 +203,51 @@ def test_nearest_vertices_compare_blocks_not_all_pairs(spark, monkeypatch):
     assert nearest._all_pairs(np.zeros((1, 3)), odd).tolist() == [1] and nearest._closest(p, odd).tolist() == nearest._all_pairs(p, odd).tolist()
 
 
+@pytest.mark.parametrize("group", [50_000, 60])
+def test_first_hits_of_scopes_cut_into_directions(spark, monkeypatch, group):
+    monkeypatch.setattr(nearest, "GROUP", group)
+    monkeypatch.setattr(nearest, "MEETS", 16)
+    rnd = np.random.default_rng(8)
+    t, p = [], []
+    for scope, n, m in (("large", 300, 500), ("small", 10, 12), ("bare", 4, 0), ("idle", 0, 4)):
+        tri = rnd.uniform(-50, 50, (m, 1, 3)) + rnd.uniform(-1, 1, (m, 3, 3)) * rnd.choice([5, 60], (m, 1, 1))
+        if scope == "large":
+            tri[:50] = tri[50:100]  # equal hits: the lowest tid
+            tri[100:110, 2] = tri[100:110, 1]  # flat
+            tri[110, 0], tri[111] = 0.0, [[0, 1, 0], [0, -1, 1], [0, -1, -1]]  # a corner at the origin, the origin within
+        t += [(scope, 900 - i, *map(float, x.ravel())) for i, x in enumerate(tri)]
+        for i in range(n):
+            x, o = rnd.uniform(-60, 60, 3), [0.0, -0.0, 0.0] if i % 3 else [20.0, 1.0, -3.0]
+            x = o if i == 6 else [np.nan, 0.0, 0.0] if i == 7 else x * np.eye(3)[i % 3] if i < 20 else x
+            p.append((scope, f"{scope}{i}", *map(float, x), *o))
+    t = spark.createDataFrame(t, "scope string, tid bigint, " + ", ".join(f"{c}{a} double" for c in "abc" for a in "xyz"))
+    p = spark.createDataFrame(p, "scope string, pid string, px double, py double, pz double, ox double, oy double, oz double")
+    length = "sqrt((px - ox) * (px - ox) + (py - oy) * (py - oy) + (pz - oz) * (pz - oz))"
+    rays = p.selectExpr("*", *(f"(p{a} - o{a}) / {length} AS g{a}" for a in "xyz")).where(f"{length} >= 1e-12")
+    pairs = nearest.staged(rays.join(t, "scope"), nearest.RAY).where("t IS NOT NULL")
+    want = {(r["scope"], r["pid"]): r["m"] for r in pairs.groupBy("scope", "pid").agg(F.min(F.struct("t", "tid", "px", "py", "pz", "ox", "oy", "oz")).alias("m")).collect()}
+    rows = nearest.first_hits(p, t).collect()
+    got = {(r["scope"], r["pid"]): r for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and len(got) > 150
+    for k, m in want.items():
+        assert got[k]["tid"] == m["tid"]
+        assert got[k]["distance"] == pytest.approx(abs(m["t"] - math.dist((m["px"], m["py"], m["pz"]), (m["ox"], m["oy"], m["oz"]))), abs=1e-9)
+
+
+def test_rays_skip_what_lies_beyond_their_hits(monkeypatch):
+    """Every ray once met all triangles whose boxes it crosses; triangles as large as their structure are crossed by all."""
+    met = []
+    plain = nearest._hit
+    monkeypatch.setattr(nearest, "_hit", lambda o, g, tri: met.append(len(g) * len(tri)) or plain(o, g, tri))
+    rnd = np.random.default_rng(9)
+    tri, o = rnd.uniform(-100, 100, (3000, 3, 3)), np.zeros(3)
+    g = nearest._unit_rows(rnd.normal(size=(2000, 3)))
+    t, tid = nearest._first(o, g, tri, np.arange(3000))
+    assert sum(met) < 2000 * 3000 / 2
+    all_t = plain(o, g, tri)
+    assert (t == all_t.min(1)).all() and (tid == np.where(np.isfinite(t), all_t.argmin(1), -1)).all()
+
+
 def _cloud_tables(spark, d):
     """Two structures with 25 and 5 interface atoms at 5 vertices; every row is there twice, atoms with another loaded_at."""
     atoms = [(s, i, "A", "ALA", i // 3, "", "CB", "C", 10.0 * (i % 5) + 0.5, i / 100, 0.0) for s, n in (("s", 25), ("t", 5)) for i in range(n)]
