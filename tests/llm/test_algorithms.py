@@ -402,3 +402,10 @@ def test_lists_of_fluent_lines_in_several_languages(spark):
             lists.add(i)
     found = {r["doc_id"] for r in quality.not_speech(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert len(lists) > 80 and found == lists
+
+
+def test_digits_of_a_line_are_counted_once():
+    """They were counted for the statistics and once more, sign by sign, for the line's signs."""
+    c = quality.parse(["ab 12\nab ²٣ 1’x"])
+    assert c.plain[:, :3].tolist() == [[2, 0, 5], [3, 1, 9]]  # letters, signs, length: other digits are no signs
+    assert quality.statistics("ab 12", ["ab", "12"], "ab12", 4, 2, 2) == c.form[0].tolist()
