@@ -409,3 +409,13 @@ def test_digits_of_a_line_are_counted_once():
     c = quality.parse(["ab 12\nab ²٣ 1’x"])
     assert c.plain[:, :3].tolist() == [[2, 0, 5], [3, 1, 9]]  # letters, signs, length: other digits are no signs
     assert quality.statistics("ab 12", ["ab", "12"], "ab12", 4, 2, 2) == c.form[0].tolist()
+
+
+def test_counts_do_not_sort_the_keys(monkeypatch):
+    """Sorting every word, pair and triple of a chunk by its hash took as long as parsing the texts."""
+    plain = np.unique
+    monkeypatch.setattr(quality.np, "unique", lambda x, **more: pytest.fail("sorted") if more else plain(x))
+    key, docs, lines, pairs, back = quality.counts_of(quality.parse(["red fox\nred hen", "red fox", None]))
+    assert len(set(key.tolist())) == len(key)
+    assert sorted(zip(docs.tolist(), lines.tolist(), pairs.tolist(), back.tolist()))[-1] == (2, 3, 2, 2)  # red
+    assert len(quality.counts_of(quality.parse([None]))[0]) == 0
